@@ -8,8 +8,8 @@ The order needs document frequencies. Those of all shingles would cost a shuffle
 share of the shingles (by hash) first, by frequency, and the others after them, by hash. A node whose own share has enough
 shingles that no other set has is done: its prefix meets nobody.
 
-Only components are asked for, so no pair within a known component is formed. In two rounds each bucket's members meet one
-member drawn as hub; then, in buckets that still hold several components, those outside the largest meet the others.
+Only components are asked for, so no pair within a known component is formed. In a few rounds each bucket's members meet a
+few members drawn as hubs; then, in buckets that still hold several components, those outside the largest meet the others.
 """
 
 from __future__ import annotations
@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 from helixspark.llm._common import as_bytes, id_text, pieces, release, shingles, stored, table
 
-CHUNK, BINS, ROUNDS = 2_000_000, 64, 2
+CHUNK, BINS, ROUNDS, HUBS = 2_000_000, 256, 3, 6
+#: A bin's count is a short; its largest value stands for any number from there.
+FULL = 32767
+#: No set has more in common with another than the smaller counts of all bins add up to.
+COMMON = f"aggregate(zip_with({{a}}.bins, {{b}}.bins, (x, y) -> if(least(x, y) = {FULL}, 1000000000000, bigint(least(x, y)))), 0L, (s, x) -> s + x)"
 #: Bits of a shingle's hash that prefixes hold. Members are verified on all 64.
 TOKEN_BITS = 48
 
@@ -51,13 +55,13 @@ def sets(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -
                     early = found % np.uint64(every) == 0
                     firsts.append(np.unique(token[early]))
                     rests.append(np.unique(token[~early])[: max(0, need - len(firsts[-1]))] if n else token)
-                    bins.append(np.bincount((found % np.uint64(BINS * 61) // np.uint64(61)).astype(np.int64), minlength=BINS).astype(np.int32))
+                    bins.append(np.minimum(np.bincount((found % np.uint64(BINS * 61) // np.uint64(61)).astype(np.int64), minlength=BINS), FULL).astype(np.int16))
                     keys.append(np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), "<i8"))
                     counts.append(n)
                 s = np.array(keys).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(firsts, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(firsts, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int16()))], names)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, first array<bigint>, rest array<bigint>, bins array<int>")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, first array<bigint>, rest array<bigint>, bins array<smallint>")
 
 
 def whole_sets(docs: DataFrame, size: int, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -132,13 +136,19 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     inside = grouped.join(sized, "node").select(F.col("lead").alias("token"), "node", "n", F.lit(0).cast("long").alias("place"))
     # A bucket is a shingle of the leads' prefixes, or a group (place 0) with all its members.
     active = stored(prefix.select("node").distinct(), "active")
-    buckets = stored(led.union(inside).withColumn("kind", F.col("place") == 0).join(bins, "node"), "buckets")
+    # A lead's bins are the greatest of its members', so that they bound what any member has in common with others.
+    outer = grouped.join(bins, "node").select("lead", F.posexplode("bins").alias("bin", "n")).groupBy("lead", "bin").agg(F.max("n").alias("n"))
+    outer = outer.groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("b")).select(F.col("lead").alias("node"), F.col("b.n").alias("outer"))
+    led = led.join(bins, "node").join(outer, "node", "left").withColumn("bins", F.coalesce("outer", "bins")).drop("outer")
+    led = led.select("node", "token", "n", "place", F.lit(False).alias("kind"), "bins")
+    inside = inside.join(bins, "node").select("node", "token", "n", "place", F.lit(True).alias("kind"), "bins")
+    buckets = stored(led.union(inside), "buckets")
     grams = stored(whole_sets(docs, size, id_col, text_col, active), "grams")
     release(prefix)
 
     def similar(a: str, b: str) -> F.Column:
         """What pairs must fulfil to be worth verifying; it never rules out similar ones (at the first common shingle)."""
-        return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * (1 + least({a}.n - {a}.place, {b}.n - {b}.place)) >= {percent} * ({a}.n + {b}.n) and {100 + percent} * aggregate(zip_with({a}.bins, {b}.bins, (x, y) -> bigint(least(x, y))), 0L, (s, x) -> s + x) >= {percent} * ({a}.n + {b}.n)")
+        return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * (1 + least({a}.n - {a}.place, {b}.n - {b}.place)) >= {percent} * ({a}.n + {b}.n) and {100 + percent} * {COMMON.format(a=a, b=b)} >= {percent} * ({a}.n + {b}.n)")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``a, b`` whose whole sets are similar enough."""
@@ -163,10 +173,13 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     for k in range(ROUNDS):
         rows = labelled(buckets, labels)
-        hubs = rows.groupBy("token", "kind").agg(F.min_by(F.struct("node", "n", "place", "bins", "label"), F.xxhash64("node", F.lit(k))).alias("h")).select("token", "kind", "h.*")
+        # Each bucket draws a few hubs of its own, and each member keeps the hub that may have most in common with it.
+        drawn = F.min_by(F.struct("node", "n", "place", "bins", "label"), F.xxhash64("node", "token", F.lit(k)))
+        hubs = rows.groupBy("token", "kind", F.pmod(F.xxhash64("node", F.lit(-1 - k)), F.lit(HUBS)).alias("nth")).agg(drawn.alias("h")).select("token", "kind", "h.*")
         x, y = rows.alias("x"), hubs.alias("y")
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.label") != F.col("y.label")) & similar("x", "y"))
-        joined(met.groupBy(F.col("x.node").alias("a")).agg(F.min("y.node").alias("b")))
+        common = F.expr(f"{COMMON.format(a='x', b='y')} / (x.n + y.n)")
+        joined(met.groupBy(F.col("x.node").alias("a")).agg(F.max_by("y.node", F.struct(common, F.col("y.node"))).alias("b")))
 
     # The rest: buckets with several components. A lead stands for its group, whose members may lie in several.
     rows = labelled(buckets, labels)
@@ -178,10 +191,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     rows = stored(rows.join(most, ["token", "kind"]), "rest")
     x, y = rows.where("label <> most or torn").alias("x"), rows.alias("y")
     once = F.expr("(not (y.label <> y.most or y.torn) or x.node < y.node) and x.node <> y.node")
-    # Bins are the lead's own; for groups the members' decide, below.
-    loose = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * (1 + least(x.n - x.place, y.n - y.place)) >= {percent} * (x.n + y.n)")
     apart = F.expr("x.label <> y.label or x.torn or y.torn")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & once & apart & loose)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & once & apart & similar("x", "y"))
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.kind").alias("kind")).distinct()
     alone = met.where("kind").select("a", "b")
     members = grouped.select(F.col("lead"), F.col("node").alias("m"))
