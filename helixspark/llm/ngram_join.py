@@ -94,7 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = stored(small.where("a <> b").distinct(), "edges")
         release(edges)
         edges = new
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return edges.union(edges.select("b", "b").distinct()).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
