@@ -16,13 +16,16 @@ from helixspark.llm.ngram_join import components
 
 #: Edits, characters from which a line counts, index rows of a key that are joined directly, hubs of a key, rounds of hubs.
 EDITS, LEAST_CHARS, DIRECT, HUBS, ROUNDS = 2, 30, 32, 8, 2
+#: Letters whose counts are compared before lines of a crowded key are paired.
+LETTERS = "etaoinsrhldu"
 
 
 def within(a: str, b: str, edits: int) -> F.Column:
     """Whether two columns of characters (arrays) are at most so many edits apart.
 
     Bit d + edits of word e says that the first j + d characters of a and the first j of b are at most e edits apart; only
-    2 * edits + 1 diagonals can matter, so a word holds the whole band. A character of b moves all words at once.
+    2 * edits + 1 diagonals can matter, so a word holds the whole band. A character of b moves all words at once, until no
+    diagonal is left.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
@@ -35,10 +38,29 @@ def within(a: str, b: str, edits: int) -> F.Column:
     for e in range(edits, -1, -1):
         body = f"transform(array({words[e]}), n{e} -> {body})[0]"
     body = f"transform(array({hits}), h -> {body})[0]"
-    last = f"aggregate(sequence(0, size({b}) - 1), named_struct({', '.join(x for e in range(edits + 1) for x in (repr(f'r{e}'), str(((1 << (e + 1)) - 1) << edits & full)))}), (s, j) -> {body}, s -> s.r{edits})"
+    last = f"aggregate(sequence(0, size({b}) - 1), named_struct({', '.join(x for e in range(edits + 1) for x in (repr(f'r{e}'), str(((1 << (e + 1)) - 1) << edits & full)))}), (s, j) -> if(s.r{edits} = 0, s, {body}), s -> s.r{edits})"
     return F.expr(f"abs(size({a}) - size({b})) <= {edits} and (size({b}) = 0 or size({a}) = 0 or ({last} & shiftleft(1, size({a}) - size({b}) + {edits})) <> 0)")
 
 
+def differing(pairs: DataFrame) -> DataFrame:
+    """``a, b, x, y`` with only what differs of the lines x and y: their characters, backwards, without the common head and tail.
+
+    None of that changes the edit distance. Halving finds their lengths, by comparing whole substrings.
+    """
+    step = "if(n + shiftleft(1, k) <= length(x) and n + shiftleft(1, k) <= length(y) and substring(x, n + 1, shiftleft(1, k)) = substring(y, n + 1, shiftleft(1, k)), n + shiftleft(1, k), n)"
+    grow = f"aggregate(sequence(int(log2(greatest(length(x), 1))), 0), 0, (n, k) -> {step})"
+
+    def settled(rows: DataFrame, x: str, y: str, n: str) -> DataFrame:
+        # A generator keeps the optimizer from writing these expressions out at each of their uses.
+        return rows.select("a", "b", F.expr(f"inline(array(struct({x} as x, {y} as y, {n} as n)))"))
+
+    out = settled(pairs, "x", "y", grow)
+    out = settled(out, "reverse(substring(x, n + 1))", "reverse(substring(y, n + 1))", "0")
+    out = settled(out, "x", "y", grow)
+    chars = "if(length({0}) = n, array(), split(substring({0}, n + 1), ''))"
+    return settled(out, chars.format("x"), chars.format("y"), "0").select("a", "b", "x", "y")
+
+
 def eligible(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, line, s, t, len``: trimmed lines long enough, with two hashes and their length."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line")).where("doc_id is not null")
@@ -81,11 +103,14 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
         crowd = stored(index.join(heavy, "key").withColumn("side", F.lit(0)).union(probe.join(heavy, "key").withColumn("side", F.lit(1))), "crowd")
         met = met.union(crowd.select("s"))
     texts = lines.join(met.distinct(), "s", "left_semi").groupBy("s").agg(F.first("line").alias("line"))
-    texts = stored(texts.select("s", F.split("line", "").alias("c")), "texts")
+    texts = stored(texts, "texts")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verified(some: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("s").alias("a"), F.col("c").alias("x")), texts.select(F.col("s").alias("b"), F.col("c").alias("y"))
-        return some.join(x, "a").join(y, "b").where(within("x", "y", edits)).select("a", "b")
+        # Verifying costs more than moving ids, and stored pairs may be few files.
+        x, y = texts.select(F.col("s").alias("a"), F.col("line").alias("x")), texts.select(F.col("s").alias("b"), F.col("line").alias("y"))
+        both = some.repartition(tasks, "a", "b").join(x, "a").join(y, "b").where(F.abs(F.length("x") - F.length("y")) <= edits)
+        return differing(both).where(within("x", "y", edits)).select("a", "b")
 
     links = stored(verified(pairs), "links")
     labels = stored(components(links), "labels")
@@ -101,10 +126,14 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
             labels = stored(components(links), "labels")
         rows = labelled(crowd)
         most = rows.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("n")).where("n > 1").drop("n")
-        rows = stored(rows.join(most, "key"), "rows")
-        x = rows.where("label <> most").select("key", F.col("s").alias("a"), F.col("side").alias("sa"), F.col("label").alias("la"))
-        y = rows.select("key", F.col("s").alias("b"), F.col("side").alias("sb"), F.col("label").alias("lb"), "most")
-        rest = x.join(y, "key").where("sa <> sb and la <> lb and (lb = most or sa < sb)").select("a", "b").distinct()
+        counts = F.struct(*(F.expr(f"length(line) - length(replace(line, '{c}', ''))").alias(c) for c in LETTERS))
+        rows = stored(rows.join(most, "key").join(texts.select("s", counts.alias("n")), "s"), "rows")
+        x = rows.where("label <> most").select("key", F.col("s").alias("a"), F.col("side").alias("sa"), F.col("label").alias("la"), F.col("n").alias("na"))
+        y = rows.select("key", F.col("s").alias("b"), F.col("side").alias("sb"), F.col("label").alias("lb"), F.col("n").alias("nb"), "most")
+        # An edit changes these counts by two at most.
+        alike = f"{' + '.join(f'abs(na.{c} - nb.{c})' for c in LETTERS)} <= {2 * edits}"
+        rest = x.join(y, "key").where(f"sa <> sb and la <> lb and (lb = most or sa < sb) and {alike}").select("a", "b").distinct()
+        rest = stored(rest, "rest")
         links = links.union(stored(verified(rest), "links"))
         labels = stored(components(links), "labels")
         release(crowd, rows)
