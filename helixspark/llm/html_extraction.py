@@ -166,16 +166,20 @@ def templates(pages: DataFrame) -> DataFrame:
 def slots(page: str, template: set[int]) -> str:
     """The main slots' text: blocks joined by one space.
 
-    A page's tokens that are not the template's fill its slots. Slots under an article or main element are main ones; a page
-    without any takes those outside menus, notices and the like. Inside a main element a text stays even if the template
-    has it, for copies of an article repeat each other; elsewhere it is boilerplate.
+    A page's tokens that are not the template's fill its slots. Slots under an article or main element are main ones; where
+    those hold little but template, and on a page without any, all outside menus, notices and the like are. A page most of
+    whose text is the template's is a copy of its host's others, for the template is what differing pages share: it keeps all.
     """
     found = [e for e in events(page) if e.text is not None]
-    main = [e for e in found if e.main and not e.apart]
-    if not any(e.text.strip() for e in main):
-        main = [e for e in found if not e.apart and e.path and (not e.text.strip() or e.token() not in template)]
-        if not any(e.text.strip() for e in main):
-            main = [e for e in found if not e.path]
+    size = lambda some: sum(len(e.text.strip()) for e in some)
+    levels = [[e for e in found if e.main and not e.apart], [e for e in found if not e.apart and e.path]]
+    levels = [x for x in levels if size(x)] or [[e for e in found if not e.path]]
+    main = levels[0]
+    for level in levels:
+        own = [e for e in level if not e.text.strip() or e.token() not in template]
+        if 2 * size(own) >= size(level):
+            main = own
+            break
     blocks: dict[int, list[str]] = {}
     for e in main:
         blocks.setdefault(e.block, []).append(e.text)
