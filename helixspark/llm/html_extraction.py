@@ -44,7 +44,9 @@ class Event:
 
     def token(self) -> int:
         key = "/".join(self.path) + ("" if self.text is None else "\0" + self.text.strip())
-        return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        token = int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        # The last bit tells structure from text.
+        return token | 1 if self.text is None else token & ~1
 
 
 def events(page: str) -> Iterator[Event]:
@@ -152,13 +154,13 @@ def occurrences(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """``host, template``: the tokens of the host's valid classes, from the outermost class inwards.
 
-    Tokens with one occurrence vector form a class. It is valid if it has enough tokens on enough pages and its tokens'
-    order by first and by last place agrees. Classes nest by support: one on fewer pages stands in slots of those on more.
+    Tokens with one occurrence vector form a class. It is valid if it has enough tokens on enough pages, a tag among them,
+    and its tokens' order by first and by last place agrees: texts alone that pages share are passages they quote. Classes nest by support: one on fewer pages stands in slots of those on more.
     """
     counts = pages.select(host(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("host_pages"))
     tokens = occurrences(pages).where(F.col("pages") >= LEAST_PAGES).join(counts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("host_pages"))
     member = F.struct("low", "high", "token")
-    classes = tokens.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list(member)).alias("members")).where(F.size("members") >= LEAST_TOKENS)
+    classes = tokens.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list(member)).alias("members")).where(F.size("members") >= LEAST_TOKENS).where("exists(members, m -> m.token % 2 <> 0)")
     ordered = F.expr("forall(sequence(1, size(members) - 1), i -> members[i].high >= members[i - 1].high)")
     return classes.where(ordered).groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("support"), F.col("members.token").alias("tokens")))).alias("classes")).select("host", F.flatten("classes.tokens").alias("template"))
 
