@@ -80,10 +80,11 @@ def segment_rows(lines: DataFrame, edits: int, probe: bool) -> DataFrame:
     return lines.select("s", F.explode(F.expr(f"array({', '.join(out)})")).alias("key")).distinct()
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``s, t, doc_id, line_no``: of each line that occurs again, or has a near copy, the one occurrence that stays.
 
-    That is its class's first by id and number. Lines under ``least`` characters are left alone.
+    That is its class's first by id and number. Lines under ``least`` characters are left alone, or if ``short`` compared
+    exactly; blank ones are always left alone.
     """
     lines = eligible(docs, least, id_col, text_col)
     firsts = stored(lines.groupBy("s", "t", "len").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("k")), "firsts")
@@ -142,25 +143,29 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     exact = known.where("not near and k > 1").select("s", "t", "first")
     near = known.where("near").groupBy("class").agg(F.min("first").alias("stays"))
     near = known.where("near").join(near, "class").select("s", "t", F.col("stays").alias("first"))
-    return exact.union(near).select("s", "t", "first.doc_id", "first.line_no")
+    out = exact.union(near)
+    if short:
+        few = eligible(docs, 1, id_col, text_col).where(F.col("len") < least)
+        out = out.union(few.groupBy("s", "t").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("k")).where("k > 1").select("s", "t", "first"))
+    return out.select("s", "t", "first.doc_id", "first.line_no")
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``doc_id, dropped``: sorted numbers (from 0) of the lines that go, for documents that lose any."""
-    stays = stored(line_classes(docs, edits, least, id_col, text_col), "stays").select("s", "t", F.col("doc_id").alias("kept_doc"), F.col("line_no").alias("kept_line"))
-    lines = eligible(docs, least, id_col, text_col).select("doc_id", "line_no", "s", "t")
+    stays = stored(line_classes(docs, edits, least, id_col, text_col, short), "stays").select("s", "t", F.col("doc_id").alias("kept_doc"), F.col("line_no").alias("kept_line"))
+    lines = eligible(docs, 1 if short else least, id_col, text_col).select("doc_id", "line_no", "s", "t")
     gone = lines.join(stays, ["s", "t"]).where("doc_id <> kept_doc or line_no <> kept_line")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The input's rows and columns with repeated and nearly repeated lines gone from the text; ``n_chars`` is the new length.
 
     Every row stays, if only with an empty text. Null texts stay null; rows with a null id stay as they are; rows that repeat
     an id lose the same lines. White space at a line's ends doesn't count; ties have no say, as (id, line number) orders all.
     An empty table gives an empty result.
     """
-    gone = dropped_lines(docs, edits, least, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+    gone = dropped_lines(docs, edits, least, id_col, text_col, short).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
     out = out.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept))
@@ -172,7 +177,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, i
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = size.join(dropped_lines(docs), "doc_id", "left")
+    out = size.join(dropped_lines(docs, short=True), "doc_id", "left")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
