@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of domains below their target occur again; each occurs at least once."""
-    return mixing.mixed_rows(docs, table(spark, sf_dir, "labels"))
+    """Documents of domains below their target occur again; each occurs at least once. Targets of absent domains don't count."""
+    return mixing.mixed_rows(docs, table(spark, sf_dir, "labels"), mixing.TARGETS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
