@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixspark.llm import bpe, line_dedup, mixing, ngram_join, toxicity
 from helixspark.llm._common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go; labels are learnt from the rows that may be."""
+    """Rows that the classifier calls toxic go, each by its own text; labels are learnt from the rows that may be."""
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    scores = toxicity.score(docs, model, located=False).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(scores, "doc_id", "left_anti").select(*docs.columns)
+    scored = toxicity.score(docs, model, located=False, keep=tuple(docs.columns)).where("predicted = 0")
+    return scored.select(*(F.col(f"kept{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +22,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays, of rows with one id and text one."""
     found = ngram_join.near_copies(docs, 5, 80)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return kept.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select(*(F.col(c if c in ("doc_id", "text") else f"rest.{c}") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,13 +114,14 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.nda
     return np.frombuffer(model[0][0], np.uint64), np.frombuffer(model[0][1])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, located: bool = True) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, located: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, score, predicted`` per row, and if ``located`` the offending sentences: start and end in bytes, and score.
 
-    A text without words (null, empty) scores 0; a null id stays null; repeated rows give repeated results.
+    A text without words (null, empty) scores 0; a null id stays null; repeated rows give repeated results. The columns of
+    ``docs`` named in ``keep`` go along as ``kept0, kept1, ...``.
     """
     spans = "array<struct<start:bigint,end:bigint,score:double>>"
-    schema = "doc_id bigint, score double, predicted int" + f", sentences {spans}" * located
+    schema = "doc_id bigint, score double, predicted int" + f", sentences {spans}" * located + "".join(f", kept{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(keep))
     known, w = model
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((known, w))
@@ -147,9 +148,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
                     for i in np.flatnonzero(p >= threshold):
                         out[d[i]].append({"start": int(starts[i]), "end": int(ends[i]), "score": float(p[i])})
                     columns.append(pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "sentences"][: 3 + located])
+                columns += [batch.column(2 + i)[a:b] for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "sentences"][: 3 + located] + [f"kept{i}" for i in range(len(keep))])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_text(docs, id_col, text_col, *(F.col(c).alias(f"kept{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
