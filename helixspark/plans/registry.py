@@ -266,11 +266,17 @@ def _s_ldsc(spark, sf):
     return _frame(spark, [{"annotation": a, "tau": float(got["tau"][k]), "s": float(got["s"][k]), "tau_se": float(np.sqrt(got["v_tau"][k, k])), "prop": float(got["prop"][k])} for k, a in enumerate(names)])
 
 
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """``piece, trait, b, lam``: all variants of a chromosome by place, each trait's effects signed by the reference's allele, 0 where it lacks one."""
+    every = rel(spark, sf, "ref").select("CHR", "BP", "SNP", "L2", F.col("A1").alias("ref_A1")).crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in TRAITS], "trait string")))
+    effect = F.when(F.col("A1") == F.col("ref_A1"), 1.0).otherwise(-1.0) * F.col("Z") / F.sqrt("N")
+    x = every.join(rel(spark, sf, "z"), ["SNP", "trait"], "left").groupBy(F.col("CHR").alias("piece"), "trait")
+    return x.agg(F.sort_array(F.collect_list(F.struct("BP", "SNP", F.coalesce(effect, F.lit(0.0)).alias("b"), "L2"))).alias("a")).select("piece", "trait", F.col("a.b").alias("b"), F.col("a.L2").alias("lam"))
+
+
 @query("hdl")
 def _hdl(spark, sf):
-    x = rel(spark, sf, "z").join(rel(spark, sf, "ld"), "SNP").groupBy(F.col("CHR").alias("piece"), "trait").agg(F.sort_array(F.collect_list(F.struct("BP", (F.col("Z") / F.sqrt("N")).alias("b"), "L2"))).alias("a"))
-    x = x.where("size(a) >= 2").select("piece", "trait", F.expr("slice(a, 1, 2).b").alias("b"), F.expr("slice(a, 1, 2).L2").alias("lam"))
-    got = ld.hdl(x, TRAITS, dict.fromkeys(TRAITS, 5500.0), M, 1000.0)
+    got = ld.hdl(_pieces(spark, sf), TRAITS, dict.fromkeys(TRAITS, 5500.0), M, 1000.0)
     return _frame(spark, [{"t1": TRAITS[i], "t2": TRAITS[j], "s": float(got.s[i, j]), "intercept": float(got.i[i, j])} for i, j in vech_pairs(3)])
 
 
