@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -37,15 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete stored tables that no later step reads, and let Spark drop the shuffle files behind them."""
+    """Delete stored tables that no later step reads, and let Spark drop the shuffle files of plans that are gone."""
+    spark = SparkSession.getActiveSession()
     for df in frames:
-        spark = df.sparkSession
         for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
             if "/helixspark/" in f:
                 path = spark._jvm.org.apache.hadoop.fs.Path(f)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if frames:
-        frames[0].sparkSession._jvm.System.gc()
+    # Python's references keep plans, and with them shuffle files, alive in the JVM; a first pass there only finds them.
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,8 @@ Lines within a few edits of each other are linked. A line cut into ``edits + 1``
 edits, so an index of segments, keyed by number, line length and content, meets the substrings of equal or longer lines at the
 places that the edits allow. Candidates are verified by a banded bit-parallel edit distance. Of each class of linked lines
 (components) only the first occurrence stays.
+
+Distinct lines are stored once, with a number each; keys come from them, so a line that occurs a million times is indexed once.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from helixspark.llm._common import release, stored, table
 from helixspark.llm.ngram_join import components
 
-#: Edits, characters from which a line counts, index rows of a key that are joined directly, hubs of a key, rounds of hubs.
+#: Edits, characters from which lines are compared by edits (shorter ones: exactly), index rows of a key that are joined
+#: directly, hubs of a key, rounds of hubs. The last three only choose between ways to the same classes.
 EDITS, LEAST_CHARS, DIRECT, HUBS, ROUNDS = 2, 30, 32, 8, 2
 #: Letters whose counts are compared before lines of a crowded key are paired.
 LETTERS = "etaoinsrhldu"
@@ -61,123 +64,173 @@ def differing(pairs: DataFrame) -> DataFrame:
     return settled(out, chars.format("x"), chars.format("y"), "0").select("a", "b", "x", "y")
 
 
-def eligible(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_no, line, s, t, len``: trimmed lines long enough, with two hashes and their length."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line")).where("doc_id is not null")
-    lines = lines.withColumn("line", F.expr(r"trim(BOTH ' \t\r' FROM line)")).withColumn("len", F.length("line")).where(F.col("len") >= least)
+def text_lines(docs: DataFrame, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, u, line_no, line, s, t, len``: trimmed lines long enough, their two hashes; u is the hash of the row's text.
+
+    A row is known by its id and its text: rows that repeat both are one document.
+    """
+    text = F.col(text_col).cast("string")
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("u"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where("doc_id is not null")
+    # Few lines have white space at their ends, and trimming a set of characters reads the whole line.
+    blank = " or ".join(f"{f}(line, '{c}')" for f in ("startswith", "endswith") for c in (" ", "\\t", "\\r"))
+    lines = lines.withColumn("line", F.expr(rf"case when {blank} then trim(BOTH ' \t\r' FROM line) else line end"))
+    lines = lines.withColumn("len", F.length("line")).where(F.col("len") >= least)
     return lines.withColumns({"s": F.xxhash64("line"), "t": F.xxhash64("line", F.lit("second"))})
 
 
+def distinct_lines(docs: DataFrame, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``line_id, s, t, len, first, k, line`` of each distinct line, stored: its number, first occurrence and how often it occurs."""
+    lines = text_lines(docs, least, id_col, text_col)
+    once = lines.groupBy("s", "t", "len").agg(F.min(F.struct("doc_id", "u", "line_no")).alias("first"), F.count("*").alias("k"), F.first("line").alias("line"))
+    return stored(once.select(F.monotonically_increasing_id().alias("line_id"), "s", "t", "len", "first", "k", "line"), "lines")
+
+
 def segment_rows(lines: DataFrame, edits: int, probe: bool) -> DataFrame:
-    """``key, s``: of each line its index entries, or the substrings by which it looks for equal or shorter lines."""
-    cut = lambda length, i: f"(({i} * ({length})) div {edits + 1})"
-    out = []
+    """``line_id, key, i, gap, own``: of each line its index entries, or the substrings by which it looks for equal or shorter lines.
+
+    ``i`` is the segment, ``gap`` how much shorter the line looked for is, ``own`` whether the key is the line's own index entry.
+    """
+    places = []
     for gap in range(edits + 1 if probe else 1):
         for i in range(edits + 1):
-            length = f"(len - {gap})"
-            places = range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1) if probe else (0,)
-            out += [f"xxhash64({i}, {length}, substring(line, {cut(length, i)} + 1 + {p}, {cut(length, i + 1)} - {cut(length, i)}))" for p in places if p == 0 or i]
-    return lines.select("s", F.explode(F.expr(f"array({', '.join(out)})")).alias("key")).distinct()
+            for p in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1) if probe else (0,):
+                places.append(f"struct({i} as i, {gap} as gap, {p} as p)")
+    # The places are exploded before any key is made: one short expression, which stays compiled.
+    rows = lines.select("line_id", "line", F.col("len").alias("n"), F.expr(f"inline(array({', '.join(places)}))")).withColumn("n", F.expr("n - gap"))
+    cut = lambda k: f"cast(({k}) * n div {edits + 1} as int)"
+    key = F.expr(f"xxhash64(i, n, substring(line, {cut('i')} + 1 + p, {cut('i + 1')} - {cut('i')}))")
+    return rows.select("line_id", key.alias("key"), F.col("i").cast("tinyint").alias("i"), F.col("gap").cast("tinyint").alias("gap"), (F.expr("gap = 0 and p = 0")).alias("own"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """``s, t, doc_id, line_no``: of each line that occurs again, or has a near copy, the one occurrence that stays.
+def piece_rows(rows: DataFrame, edits: int, probe: bool) -> DataFrame:
+    """``rows`` with ``key2``: what their lines have outside the segment of ``key``, cut in ``edits + 1`` pieces.
 
-    That is its class's first by id and number. Lines under ``least`` characters are left alone, or if ``short`` compared
-    exactly; blank ones are always left alone.
+    Two lines that keep a segment and are within the edits keep one of these pieces too, at most ``edits`` places off.
+    ``rows`` have ``line, key, i, gap``.
     """
-    lines = eligible(docs, least, id_col, text_col)
-    firsts = stored(lines.groupBy("s", "t", "len").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("k")), "firsts")
-    index = segment_rows(lines, edits, False)
-    probe = segment_rows(lines, edits, True)
-    count = index.groupBy("key").agg(F.count("*").alias("k"))
-    heavy = stored(count.where(F.col("k") > DIRECT).select("key"), "heavy")
-    any_heavy = not heavy.isEmpty()
-    i, p = index, probe
-    if any_heavy:
-        i, p = index.join(heavy, "key", "left_anti"), probe.join(heavy, "key", "left_anti")
-    pair = lambda x, y: x.withColumnRenamed("s", "a").join(y.withColumnRenamed("s", "b"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pair(i, p).distinct(), "pairs")
-    crowd = None
-    met = pairs.select(F.explode(F.array("a", "b")).alias("s"))
-    if any_heavy:
-        crowd = stored(index.join(heavy, "key").withColumn("side", F.lit(0)).union(probe.join(heavy, "key").withColumn("side", F.lit(1))), "crowd")
-        met = met.union(crowd.select("s"))
-    texts = lines.join(met.distinct(), "s", "left_semi").groupBy("s").agg(F.first("line").alias("line"))
-    texts = stored(texts, "texts")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shifts = range(-edits, edits + 1) if probe else (0,)
+    some = rows.withColumn("n", F.expr("length(line) - gap")).select("*", F.expr(f"inline(array({', '.join(f'struct({j} as j, {p} as p)' for j in range(edits + 1) for p in shifts)}))"))
+    # The segment lies between start and stop; the pieces are cut from the text without it, and one that spans it joins its two sides.
+    start, width = f"cast(i * n div {edits + 1} as int)", f"(cast((i + 1) * n div {edits + 1} as int) - cast(i * n div {edits + 1} as int))"
+    some = some.withColumns({"start": F.expr(start), "width": F.expr(width)})
+    # Pieces left of the segment come first: as many as there are segments before it, or all if none comes after it.
+    some = some.withColumn("before", F.expr(f"if(i = {edits}, {edits + 1}, int(i))"))
+    # A greatest() keeps the side that a case doesn't take from dividing by 0.
+    end = lambda j: f"case when j < before then cast({j} * start div greatest(before, 1) as int) else start + width + cast(({j} - before) * (n - start - width) div greatest({edits + 1} - before, 1) as int) end"
+    some = some.withColumns({"lo": F.expr(end("j")), "hi": F.expr(end("(j + 1)"))}).where("lo + p >= 0")
+    return some.withColumn("key2", F.expr("xxhash64(key, j, substring(line, lo + p + 1, hi - lo))")).drop("n", "j", "p", "start", "width", "before", "lo", "hi", "line")
+
+
+def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """``node, component`` of the lines of ``distinct_lines`` that have others within the edits: the least number of their class."""
+    long = lines.where(F.col("len") >= least).select("line_id", "line", "len")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A key's index entries as their number and one of them: most keys have one, that of the line that asks.
+    index = segment_rows(long, edits, False).groupBy("key").agg(F.count("*").alias("k"), F.min("line_id").alias("one"))
+    hits = segment_rows(long, edits, True).join(index, "key").where("k > 1 or line_id <> one")
+    hits = stored(hits, "hits")
+    release()
+    alone, crowd = hits.where("k = 1").select(F.least("line_id", "one").alias("a"), F.greatest("line_id", "one").alias("b")), hits.where(f"k > {DIRECT}")
+    met = hits.select("line_id").union(alone.select(F.explode(F.array("a", "b")))).distinct()
+    # One plan at every size: few lines are met, but how many has no bound that a broadcast could rest on.
+    texts = stored(long.select("line_id", "line").join(met.hint("merge"), "line_id", "left_semi"), "texts")
+    release()
+    counts = F.struct(*(F.expr(f"length(line) - length(replace(line, '{c}', ''))").alias(c) for c in LETTERS))
+
+    def met_pairs(rows: DataFrame) -> DataFrame:
+        """``a, b``: lines of one key and one class's border that agree on a second key, from what surrounds the segment.
+
+        ``rows`` are hits with ``label`` and ``most``, the key's largest class: its lines aren't paired with each other.
+        """
+        rows = rows.join(texts, "line_id").withColumn("c", counts)
+        x = piece_rows(rows, edits, True).select("key2", F.col("line_id").alias("a"), F.col("label").alias("la"), (F.col("label") != F.col("most")).alias("ma"), F.col("c").alias("ca"))
+        y = piece_rows(rows.where("own"), edits, False).select("key2", F.col("line_id").alias("b"), F.col("label").alias("lb"), (F.col("label") != F.col("most")).alias("mb"), F.col("c").alias("cb"))
+        # An edit changes these counts by two at most.
+        alike = f"{' + '.join(f'abs(ca.{c} - cb.{c})' for c in LETTERS)} <= {2 * edits}"
+        return x.join(y, "key2").where(f"(ma or mb) and la <> lb and {alike}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # Lines under one key are few here, so all are paired: each is a class of its own.
+    light = hits.where(f"k between 2 and {DIRECT}").select("line_id", "key", "i", "gap", "own", F.col("line_id").alias("label"), F.lit(-1).cast("long").alias("most"))
+    pairs = stored(met_pairs(light).union(alone.distinct()).distinct(), "pairs")
 
     def verified(some: DataFrame) -> DataFrame:
         # Verifying costs more than moving ids, and stored pairs may be few files.
-        x, y = texts.select(F.col("s").alias("a"), F.col("line").alias("x")), texts.select(F.col("s").alias("b"), F.col("line").alias("y"))
+        x, y = texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), texts.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
         both = some.repartition(tasks, "a", "b").join(x, "a").join(y, "b").where(F.abs(F.length("x") - F.length("y")) <= edits)
         return differing(both).where(within("x", "y", edits)).select("a", "b")
 
     links = stored(verified(pairs), "links")
     labels = stored(components(links), "labels")
-    labelled = lambda rows: rows.join(labels, rows["s"] == labels["node"], "left").select(rows["*"], F.coalesce("component", "s").alias("label"))
-    if any_heavy:
+    if not crowd.isEmpty():
+        labelled = lambda rows: rows.join(labels, rows["line_id"] == labels["node"], "left").select(rows["*"], F.coalesce("component", "line_id").alias("label"))
         # Many lines share a segment: they meet a few hubs, then those outside the largest class of the key meet the rest.
         for k in range(ROUNDS):
-            rows = labelled(crowd)
-            hubs = rows.groupBy("key", "side", F.pmod(F.xxhash64("s", F.lit(k)), F.lit(HUBS)).alias("nth")).agg(F.min_by(F.struct("s", "label"), F.xxhash64("s", "key", F.lit(k))).alias("h"))
-            hubs = hubs.select("key", F.col("side").alias("other"), F.col("h.s").alias("b"), F.col("h.label").alias("to"))
-            new = rows.join(hubs, "key").where("side <> other and label <> to").groupBy(F.col("s").alias("a")).agg(F.min_by("b", F.xxhash64("s", "b")).alias("b"))
+            rows = labelled(crowd.select("key", "line_id", "own"))
+            hubs = rows.groupBy("key", "own", F.pmod(F.xxhash64("line_id", F.lit(k)), F.lit(HUBS)).alias("nth")).agg(F.min_by(F.struct("line_id", "label"), F.xxhash64("line_id", "key", F.lit(k))).alias("h"))
+            hubs = hubs.select("key", F.col("own").alias("other"), F.col("h.line_id").alias("b"), F.col("h.label").alias("to"))
+            new = rows.join(hubs, "key").where("(own or other) and label <> to").groupBy(F.col("line_id").alias("a")).agg(F.min_by("b", F.xxhash64("line_id", "b")).alias("b"))
             links = links.union(stored(verified(new), "links"))
-            labels = stored(components(links), "labels")
-        rows = labelled(crowd)
-        most = rows.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("n")).where("n > 1").drop("n")
-        counts = F.struct(*(F.expr(f"length(line) - length(replace(line, '{c}', ''))").alias(c) for c in LETTERS))
-        rows = stored(rows.join(most, "key").join(texts.select("s", counts.alias("n")), "s"), "rows")
-        x = rows.where("label <> most").select("key", F.col("s").alias("a"), F.col("side").alias("sa"), F.col("label").alias("la"), F.col("n").alias("na"))
-        y = rows.select("key", F.col("s").alias("b"), F.col("side").alias("sb"), F.col("label").alias("lb"), F.col("n").alias("nb"), "most")
-        # An edit changes these counts by two at most.
-        alike = f"{' + '.join(f'abs(na.{c} - nb.{c})' for c in LETTERS)} <= {2 * edits}"
-        rest = x.join(y, "key").where(f"sa <> sb and la <> lb and (lb = most or sa < sb) and {alike}").select("a", "b").distinct()
-        rest = stored(rest, "rest")
+            old, labels = labels, stored(components(links), "labels")
+            release(old)
+        # Keys whose lines lie in several classes. Lines are paired by a second key, from what surrounds the segment.
+        rows = labelled(crowd.select("key", "line_id", "i", "gap", "own"))
+        most = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("n")).where("n > 1").drop("n")
+        rest = met_pairs(rows.join(most, "key"))
         links = links.union(stored(verified(rest), "links"))
-        labels = stored(components(links), "labels")
-        release(crowd, rows)
-    release(pairs, texts, heavy)
-    known = firsts.join(labels, firsts["s"] == labels["node"], "left").select("s", "t", "first", "k", F.coalesce("component", "s").alias("class"), F.col("component").isNotNull().alias("near"))
-    exact = known.where("not near and k > 1").select("s", "t", "first")
-    near = known.where("near").groupBy("class").agg(F.min("first").alias("stays"))
-    near = known.where("near").join(near, "class").select("s", "t", F.col("stays").alias("first"))
-    out = exact.union(near)
-    if short:
-        few = eligible(docs, 1, id_col, text_col).where(F.col("len") < least)
-        out = out.union(few.groupBy("s", "t").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("k")).where("k > 1").select("s", "t", "first"))
-    return out.select("s", "t", "first.doc_id", "first.line_no")
+        old, labels = labels, stored(components(links), "labels")
+        release(old)
+    release(hits, pairs, texts, links)
+    return labels
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """``s, t, doc_id, u, line_no``: of each line that occurs again, or has a near copy, the one occurrence that stays.
+
+    That is its class's first by id, text and number. Lines under ``least`` characters are left alone, or if ``short`` compared
+    exactly; blank ones are always left alone.
+    """
+    lines = distinct_lines(docs, 1 if short else least, id_col, text_col)
+    release()
+    labels = line_links(lines, edits, least)
+    known = lines.select("line_id", "s", "t", "first", "k").join(labels, F.col("line_id") == F.col("node"), "left").where("k > 1 or node is not null")
+    near = known.where("node is not null").groupBy("component").agg(F.min("first").alias("stays"))
+    out = known.join(near, "component", "left").select("s", "t", F.coalesce("stays", "first").alias("first"))
+    out = stored(out.select("s", "t", "first.*"), "stays")
+    release(lines, labels)
+    return out
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """``doc_id, dropped``: sorted numbers (from 0) of the lines that go, for documents that lose any."""
-    stays = stored(line_classes(docs, edits, least, id_col, text_col, short), "stays").select("s", "t", F.col("doc_id").alias("kept_doc"), F.col("line_no").alias("kept_line"))
-    lines = eligible(docs, 1 if short else least, id_col, text_col).select("doc_id", "line_no", "s", "t")
-    gone = lines.join(stays, ["s", "t"]).where("doc_id <> kept_doc or line_no <> kept_line")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    """``doc_id, u, dropped``: sorted numbers (from 0) of the lines that go, for rows that lose any (u: hash of the row's text)."""
+    stays = line_classes(docs, edits, least, id_col, text_col, short).select("s", "t", F.struct("doc_id", "u", "line_no").alias("kept"))
+    lines = text_lines(docs, 1 if short else least, id_col, text_col).select("doc_id", "u", "line_no", "s", "t")
+    gone = lines.join(stays, ["s", "t"]).where("struct(doc_id, u, line_no) <> kept")
+    return gone.groupBy("doc_id", "u").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The input's rows and columns with repeated and nearly repeated lines gone from the text; ``n_chars`` is the new length.
 
-    Every row stays, if only with an empty text. Null texts stay null; rows with a null id stay as they are; rows that repeat
-    an id lose the same lines. White space at a line's ends doesn't count; ties have no say, as (id, line number) orders all.
-    An empty table gives an empty result.
+    Every row stays, if only with an empty text. Null texts stay null; rows with a null id stay as they are. Rows that share an
+    id but not the text are documents of their own; rows that repeat both are one, and each keeps what that one keeps. White
+    space at a line's ends doesn't count; ties have no say, as (id, text's hash, line number) orders all. An empty table gives
+    an empty result. Columns of any name go through: the work is done beside them.
     """
-    gone = dropped_lines(docs, edits, least, id_col, text_col, short).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
-    out = out.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept))
+    gone = dropped_lines(docs, edits, least, id_col, text_col, short).select(F.struct("doc_id", "u").alias("row"), "dropped")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("u"))
+    out = whole.join(gone.select("row.doc_id", "row.u", "dropped"), ["doc_id", "u"], "left")
+    text = F.col("kept").getField(text_col)
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    new = {text_col: F.when(F.col("dropped").isNull(), text).otherwise(left)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("dropped").isNull(), F.col("kept.n_chars")).otherwise(F.length(new[text_col]).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*((new[c] if c in new else F.col("kept").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    size = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = size.join(dropped_lines(docs, short=True), "doc_id", "left")
+    size = docs.select("doc_id", F.xxhash64("text").alias("u"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = size.join(dropped_lines(docs, short=True), ["doc_id", "u"], "left")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
