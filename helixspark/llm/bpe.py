@@ -10,15 +10,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from helixspark.llm._common import id_text, pieces, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Rounds of one recursive query, bytes of pieces in one, tokens in one decoding query and pieces remembered by a worker; bytes
-#: from which a piece counts as long.
-ROUNDS, PIECE_BYTES, DECODE_TOKENS, REMEMBERED, LONG = 48, 1_000_000, 1_000_000, 500_000, 40
-BATCH_CHARS = 8_000_000
+#: Rounds of one recursive query, bytes of pieces in one, tokens in one decoding query; bytes from which a piece counts as long
+#: (a choice of query that doesn't change results).
+ROUNDS, PIECE_BYTES, DECODE_TOKENS, LONG = 48, 500_000, 500_000, 40
+#: Bytes of pieces with their ids that a worker remembers, an entry's own bytes, characters of texts at once.
+REMEMBERED, ENTRY, BATCH_CHARS = 80 << 20, 250, 2_000_000
 CHUNKS, SEPARATORS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall, re.compile("[\x1c-\x1f]")
 
 # A state holds a row for each token of each piece, linked to the token after it. One round joins the neighbouring pairs
@@ -111,7 +113,7 @@ class Codec:
                     for part in (a, b):
                         lower[part] = min(lower.get(part, rank), rank)
         alone = [lower.get(r, r) < r for r in merged]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         self.db.register("t_merges", pa.table([pa.array(x, k) for x, k in zip((first, second, merged, alone), kinds, strict=True)], ["first", "second", "merged", "alone"]))
         self.db.register("t_vocabulary", pa.table({"id": pa.array(known.values(), pa.uint32()), "bytes": [x.decode("latin-1") for x in known]}))
@@ -120,7 +122,7 @@ class Codec:
         for b in range(256):
             self.single[b] = known[bytes([b])]
         self.memory: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
+        self.held = 0
 
     def fixpoint(self, found: list[bytes]) -> list[bytes]:
         """Token ids of each piece (bytes, none empty; either all long or all short)."""
@@ -154,8 +156,9 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[bytes]]:
         """Each text's ids as little-endian unsigned 32-bit integers, a bytes object for each of its chunks."""
         chunked = [self.chunks(x) for x in texts]
-        if len(self.memory) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.memory.clear()
+            self.held = 0
         parts = {c: self.split(c) for c in set().union(*chunked).difference(self.memory)}
         new = {p: p.encode() for p in set().union(*parts.values()).difference(self.memory)}
         for long in (False, True):
@@ -165,22 +168,21 @@ class Codec:
         for c, found in parts.items():
             if len(found) != 1:
                 self.memory[c] = b"".join(map(self.memory.__getitem__, found))
+        self.held += sum(ENTRY + 2 * len(x) for x in {**parts, **new})
         return [list(map(self.memory.__getitem__, found)) for found in chunked]
 
-    def decode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """The bytes of each text, given as runs of ids; an ordered aggregation decodes each distinct run once."""
-        if len(self.decoded) > REMEMBERED:
-            self.decoded.clear()
-        new = list(set().union(*texts).difference(self.decoded))
-        for a, b in pieces((len(x) // 4 for x in new), DECODE_TOKENS):
-            some = new[a:b]
-            flat = np.frombuffer(b"".join(some), "<u4")
-            run = np.repeat(np.arange(a, b, dtype=np.int32), [len(x) // 4 for x in some])
+    def decode(self, texts: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each text, given as ids: rows of tokens join the vocabulary, an ordered aggregation puts them together."""
+        out = [b""] * len(texts)
+        for a, b in pieces(map(len, texts), DECODE_TOKENS):
+            some = texts[a:b]
+            flat = np.concatenate(some)
+            run = np.repeat(np.arange(a, b, dtype=np.int32), list(map(len, some)))
             self.db.register("ids", pa.table({"run": run, "place": np.arange(len(flat), dtype=np.int32), "id": flat}))
             got = self.db.sql(DECODE).to_arrow_table()
             for r, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-                self.decoded[new[r]] = text.encode("latin-1")
-        return [b"".join(map(self.decoded.__getitem__, runs)) for runs in texts]
+                out[r] = text.encode("latin-1")
+        return out
 
 
 @cache
@@ -209,11 +211,11 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in pieces(map(len, texts), BATCH_CHARS):
-                runs = c.encode(texts[a:b])
-                back = c.decode(runs)
+            sizes = [x or 0 for x in pc.binary_length(batch.column(1)).to_pylist()]
+            for a, b in pieces(sizes, BATCH_CHARS):
+                runs = c.encode([x or "" for x in batch.column(1)[a:b].to_pylist()])
                 ids = [b"".join(x) for x in runs]
+                back = c.decode([np.frombuffer(x, "<u4") for x in ids])
                 columns = [batch.column(0)[a:b], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
                 extra = {"ids": (np.frombuffer(x, "<u4").astype(np.int64) for x in ids), "decoded": back}
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(list(extra[k]), kinds[k]) for k in keep], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
