@@ -63,6 +63,9 @@ def p_to_z(p: str, sign: str) -> str:
 
 
 def tiny_z(text: str, sign: str) -> str:
-    """Signed z of a P given as text, by sqrt(-2 ln P): mantissa and exponent are taken apart, so no P is too small."""
-    part = lambda k: f"cast(regexp_extract(lower({text}), '^([0-9.]+)e([-+]?[0-9]+)$', {k}) as double)"
-    return f"(sign({sign}) * sqrt(-2 * (ln({part(1)}) + {part(2)} * ln(cast(10 as double)))))"
+    """Signed z of a P given as text, by sqrt(-2 ln P): mantissa and exponent are taken apart, so no P is too small.
+
+    Null for a P of 0 and for text that is no positive number with an exponent.
+    """
+    part = lambda k: f"try_cast(regexp_extract(lower({text}), '^([0-9.]+)e([-+]?[0-9]+)$', {k}) as double)"
+    return f"(sign({sign}) * sqrt(-2 * (ln(nullif({part(1)}, 0)) + {part(2)} * ln(cast(10 as double)))))"

@@ -289,7 +289,7 @@ def simulate(spark: SparkSession, ld: DataFrame, cov: np.ndarray, n: list[float]
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in range(replicates):
-                z = np.stack([np.random.default_rng([seed, r, int(h) & 0xFFFFFFFF]).standard_normal(k) for h in pdf["h"]]) if len(pdf) else np.zeros((0, k))
+                z = np.stack([np.random.default_rng([seed, r, int(h) & 0xFFFFFFFFFFFFFFFF]).standard_normal(k) for h in pdf["h"]]) if len(pdf) else np.zeros((0, k))
                 sigma = root[None] * pdf["L2"].to_numpy()[:, None, None] + intercepts[None]
                 w, q = np.linalg.eigh(sigma)
                 out = np.einsum("nij,nj->ni", q * np.sqrt(np.maximum(w, 0))[:, None, :], z)

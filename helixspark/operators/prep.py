@@ -79,13 +79,15 @@ def numeric_p(df: DataFrame) -> DataFrame:
 
 
 def z_column(p: str = "P", text: str = "P_text", sign: str = "effect") -> str:
-    return f"case when {p} < 1e-307 then {expr.tiny_z(text, sign)} else {expr.p_to_z(p, sign)} end"
+    """Signed z of a P; null outside 0 to 1 and for a P of 0, which has no finite z."""
+    return f"case when {p} < 0 or {p} > 1 then null when {p} < 1e-307 then {expr.tiny_z(text, sign)} else {expr.p_to_z(p, sign)} end"
 
 
 def munge(df: DataFrame, ref: DataFrame, by: tuple[str, ...] = (), info: float = 0.9, maf: float = 0.01) -> DataFrame:
     """``by, SNP, N, Z, A1, A2``: cleaned z scores, signed by the reference's A1.
 
-    Alleles outside A, C, G, T, missing P or effect, mismatching alleles, low INFO or MAF (where there is one) go.
+    Alleles outside A, C, G, T, missing P or effect, mismatching alleles, low INFO or MAF (where there is one) go. A P outside
+    0 to 1, or of 0, gives a null Z (``munge_report`` counts the former).
     """
     x = with_reference(numeric_p(df).withColumns({"A1": F.expr(allele("A1")), "A2": F.expr(allele("A2"))}), ref)
     x = detect_odds(x.where("P is not null and effect is not null"), by)
@@ -98,6 +100,27 @@ def munge(df: DataFrame, ref: DataFrame, by: tuple[str, ...] = (), info: float =
     return x.select(*by, "SNP", "N", "Z", F.col("A1_ref").alias("A1"), F.col("A2_ref").alias("A2"))
 
 
+def munge_report(df: DataFrame, ref: DataFrame, by: tuple[str, ...] = (), info: float = 0.9, maf: float = 0.01) -> DataFrame:
+    """``by`` and counts of rows that each step of ``munge`` takes away, in its order, in one pass; ``odd_p`` counts P outside 0 to 1. An allele outside A, C, G, T counts with ``bad_a1``."""
+    x = with_reference(numeric_p(df).withColumns({"A1": F.expr(allele("A1")), "A2": F.expr(allele("A2"))}), ref)
+    steps = {"missing_p": "P is null", "missing_effect": "effect is null", "bad_a1": f"A1 is null or A2 is null or coalesce({BAD_A1}, true)", "bad_a2": f"coalesce({BAD_A2}, true)"}
+    if "INFO" in df.columns:
+        steps["low_info"] = f"coalesce(INFO < {info}, true)"
+    if "MAF" in df.columns:
+        steps["low_maf"] = f"coalesce({folded('MAF')} < {maf}, true)"
+    before, counts = "false", []
+    for name, gone in steps.items():
+        counts.append(F.count_if(F.expr(f"not ({before}) and ({gone})")).alias(name))
+        before = f"{before} or ({gone})"
+    kept = F.count_if(F.expr(f"not ({before})")).alias("kept")
+    return x.groupBy(*by).agg(F.count("*").alias("joined"), *counts, F.count_if(F.expr("P < 0 or P > 1")).alias("odd_p"), kept)
+
+
+def mean_z(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, mean_z, suspicious``: mean of |beta / se|; over 5, effects or standard errors are likely of another scale."""
+    return df.groupBy(*by).agg(F.avg(F.abs(F.col("beta") / F.col("se"))).alias("mean_z")).withColumn("suspicious", F.col("mean_z") > 5)
+
+
 def sumstats(df: DataFrame, ref: DataFrame, mode: str, by: tuple[str, ...] = (), info: float = 0.6, maf: float = 0.01, keep_indels: bool = False, ambiguous: bool = True) -> DataFrame:
     """``by, SNP, CHR, BP, MAF, A1, A2, beta, se`` of the variants that pass, against the reference's A1."""
     ref = ref.where(f"MAF >= {maf}")

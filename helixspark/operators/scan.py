@@ -41,6 +41,14 @@ def z_pre(cov: CovStruct, gc: str = "standard", beta: str = "beta_{}", se: str =
     return [f"({beta.format(t)} / ({se.format(t)} * {num(float(g))}))" for t, g in zip(cov.names, gc_factor(cov.i, gc), strict=True)]
 
 
+def with_matrices(variants: DataFrame, cov: CovStruct, gc: str = "standard", var: str = "2 * MAF * (1 - MAF)") -> DataFrame:
+    """The rows with ``s_full`` and ``v_snp``, lower triangles by columns, of the variant (or, with HSQ as ``var``, gene) and the traits."""
+    cells, k = v_snp(cov, gc, var="__var"), len(cov.names)
+    rows = variants.withColumn("__var", F.expr(var))
+    lower = ", ".join(cells[i][j] for j in range(k) for i in range(j, k))
+    return rows.withColumns({"s_full": F.expr(f"array({', '.join(s_full(cov, var='__var'))})"), "v_snp": F.expr(f"array({lower})")}).drop("__var")
+
+
 def inverse3(m: list[list[str]]) -> tuple[list[list[str]], str]:
     """Cofactors and determinant of a symmetric 3 x 3 matrix of expressions."""
     c = lambda a, b: f"({m[(a + 1) % 3][(b + 1) % 3]} * {m[(a + 2) % 3][(b + 2) % 3]} - {m[(a + 1) % 3][(b + 2) % 3]} * {m[(a + 2) % 3][(b + 1) % 3]})"

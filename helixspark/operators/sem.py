@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import operator
 import re
 from dataclasses import dataclass, replace
 
@@ -366,7 +368,7 @@ def table(got: dict) -> list[dict]:
     names = {r.label: r.free - 1 for r in model.rows if r.label and r.free}
     for name, text in model.defined:
         def value(p, text=text):
-            return float(eval(compile(arithmetic(text), name, "eval"), {"__builtins__": {}}, {n: p[j] for n, j in names.items()} | {"sqrt": np.sqrt, "exp": np.exp, "log": np.log, "abs": abs}))
+            return float(arithmetic(text, {n: p[j] for n, j in names.items()}))
 
         e = 1e-6 * (1 + np.abs(got["p"]))
         grad = np.array([(value(got["p"] + e[j] * np.eye(len(e))[j]) - value(got["p"] - e[j] * np.eye(len(e))[j])) / (2 * e[j]) for j in range(len(e))])
@@ -375,11 +377,28 @@ def table(got: dict) -> list[dict]:
     return out
 
 
-def arithmetic(text: str) -> str:
-    """The text of a defined parameter, if it holds nothing but arithmetic on names."""
-    if not re.fullmatch(r"[\w\s.+\-*/^()]+", text):
-        raise ValueError(f"not arithmetic: {text}")
-    return text.replace("^", "**").strip()
+OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
+FUNCTIONS = {"sqrt": np.sqrt, "exp": np.exp, "log": np.log, "abs": abs}
+
+
+def arithmetic(text: str, names: dict[str, float]) -> float:
+    """Value of a defined parameter: numbers, labels, + - * / ^ and four functions; anything else is refused."""
+
+    def value(x: ast.AST) -> float:
+        match x:
+            case ast.Constant(value=int() | float()):
+                return x.value
+            case ast.Name() if x.id in names:
+                return names[x.id]
+            case ast.BinOp() if type(x.op) in OPERATORS:
+                return OPERATORS[type(x.op)](value(x.left), value(x.right))
+            case ast.UnaryOp() if type(x.op) in OPERATORS:
+                return OPERATORS[type(x.op)](value(x.operand))
+            case ast.Call(func=ast.Name(id=f), args=[one], keywords=[]) if f in FUNCTIONS:
+                return FUNCTIONS[f](value(one))
+        raise ValueError(f"not arithmetic on labels: {text}")
+
+    return value(ast.parse(text.replace("^", "**").strip(), mode="eval").body)
 
 
 def usermodel(cov: CovStruct, model: str, estimation: str = "DWLS", std_lv: bool = False) -> dict:

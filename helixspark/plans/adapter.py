@@ -36,7 +36,7 @@ from {one} o join {ref} r on o.SNP = r.SNP where r.MAF > 0.01 group by r.SNP, r.
     "fusion": """
 select trait, concat('/data/weights/', trait, 'x/', cast(l_orderkey % 5 as string), '.wgt') as FILE, concat('g', cast(l_orderkey % 701 as string)) as ID, effect / SE as TWAS_Z, INFO / 10 + 0.01 as HSQ,
        cast(l_linenumber % 5 as double) / 4 as PERM_PV, cast(1000 as double) as PERM_N
-from {one} o where l_orderkey % 3 = 0""",
+from {one} o""",
     "annot": "select SNP, CHR, MAF, cast(1 as double) as base, cast(CHR % 2 as double) as odd, cast(case when L2 > 30 then 1 else 0 end as double) as dense, L2 from {ref} r",
 }
 

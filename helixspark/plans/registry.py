@@ -85,15 +85,18 @@ shared("anti_join", "select f.SNP as snp, f.CHR as chr from {ref} f where not ex
 shared("z_correlation", f"select a.trait as t1, b.trait as t2, {r('corr(a.Z, b.Z)')} as rho from {{z}} a join {{z}} b on a.SNP = b.SNP and a.trait < b.trait group by a.trait, b.trait")
 
 
-@query("union_chromosomes", "select SNP as snp, CHR as chr, case when CHR = 2 then null else BP end as bp from {ref} q where CHR <= 3")
+@query("union_chromosomes", "select SNP as snp, CHR as chr, case when CHR = 2 then null else BP end as bp from {ref} q")
 def _union(spark: SparkSession, sf: str) -> DataFrame:
     ref = rel(spark, sf, "ref").select(F.col("SNP").alias("snp"), F.col("CHR").alias("chr"), F.col("BP").alias("bp"))
-    return readers.union_chromosomes([ref.where(f"chr = {c}").drop(*(["bp"] if c == 2 else [])) for c in (1, 2, 3)])
+    return readers.union_chromosomes([ref.where(f"chr = {c}").drop(*(["bp"] if c == 2 else [])) for c in range(1, 23)])
 
 
-@query("drop_all_duplicates", "select SNP as snp, l_orderkey from (select *, count(*) over (partition by SNP) as copies from (select * from {raw} q where trait = 'R' and l_linenumber = 1) x) y where copies = 1")
+_KEYED = "select l_orderkey, concat(SNP, ':', trait, cast(l_linenumber as string), cast(l_orderkey % 5 as string)) as SNP from {raw} q"
+
+
+@query("drop_all_duplicates", f"select SNP as snp, l_orderkey from (select *, count(*) over (partition by SNP) as copies from ({_KEYED}) x) y where copies = 1")
 def _dups(spark, sf):
-    return prep.drop_all_duplicates(rel(spark, sf, "raw").where("trait = 'R' and l_linenumber = 1")).select(F.col("SNP").alias("snp"), "l_orderkey")
+    return prep.drop_all_duplicates(sql(spark, sf, _KEYED)).select(F.col("SNP").alias("snp"), "l_orderkey")
 
 
 @query("or_detection", f"select o.trait, SNP as snp, {r('case when odds then ln(e) else e end')} as effect from (select *, case when trait = 'A' then exp(effect) else effect end as e from {{one}} q) o join (select trait, round_even(median(case when trait = 'A' then exp(effect) else effect end), 0) = 1 as odds from {{one}} q group by trait) m on o.trait = m.trait")
@@ -290,10 +293,37 @@ def _pa(spark, sf):
     return ld.parallel_analysis(spark, COV, 200)
 
 
-@query("add_snps")
+_NS = " union all ".join(f"select SNP as key, {n} as place, {r(c, 8)} as value from (select *, 2 * MAF * (1 - MAF) as var from {{wide}} w) x" for n, c in enumerate(["var", *(f"var * beta_{t}" for t in TRAITS), "1.0", "0.35", "0.35", "1.0", "0.35", "1.0"]))
+
+
+@query("add_snps", _NS)
 def _add(spark, sf):
-    x = rel(spark, sf, "wide").withColumn("varSNP", F.expr(prep.variance("MAF")))
-    return x.select("SNP", F.expr(f"array({', '.join(scan.s_full(COV))})").alias("s_full"), F.expr(f"array({', '.join(_V[i][j] for i, j in vech_pairs(3))})").alias("v_snp"))
+    x = scan.with_matrices(rel(spark, sf, "wide"), COV, "conserv")
+    return rounded(x.select(F.col("SNP").alias("key"), F.posexplode("s_full").alias("place", "value")), 8)
+
+
+@query("add_genes", "select a.ID as gene, " + _PANEL.replace("FILE", "a.FILE") + f" as panel, {r('a.HSQ', 8)} as s0, {r('a.HSQ * a.TWAS_Z / sqrt(5000 * a.HSQ)', 8)} as s1, {r('a.HSQ * b.TWAS_Z / sqrt(6000 * b.HSQ)', 8)} as s2, {r('power(1.05 * a.HSQ * abs(1 / sqrt(5000 * a.HSQ)), 2) * 1000', 8)} as v00 from (select * from {{fusion}} q where trait = 'R') a join (select *, replace(FILE, 'Nx', 'Rx') as f2 from {{fusion}} q where trait = 'N') b on a.ID = b.ID and {_PANEL.replace('FILE', 'a.FILE')} = {_PANEL.replace('FILE', 'b.f2')} where a.TWAS_Z <> 0 and b.TWAS_Z <> 0 group by all")
+def _add_genes(spark, sf):
+    f = rel(spark, sf, "fusion").where("TWAS_Z <> 0")
+    genes = prep.fusion([f.where("trait = 'R'"), f.where("trait = 'N'").withColumn("FILE", F.expr("replace(FILE, 'Nx', 'Rx')"))], ["R", "N"], [5000, 6000], [False, False])
+    x = scan.with_matrices(genes, literal_covstruct(("R", "N")), "conserv", "HSQ")
+    return rounded(x.select(F.col("Gene").alias("gene"), F.col("Panel").alias("panel"), *(F.col("s_full")[i].alias(f"s{i}") for i in range(3)), (F.col("v_snp")[0] * 1000).alias("v00")), 8).distinct()
+
+
+@query("munge_report", f"""
+with c as (select o.trait, o.P, o.effect, o.INFO, o.MAF, upper(o.A1) as a1, upper(o.A2) as a2, f.A1 as r1, f.A2 as r2 from {{raw}} o join {{ref}} f on o.SNP = f.SNP),
+d as (select trait, try_cast(P as double) as p, effect, INFO, case when MAF <= 0.5 then MAF else 1 - MAF end as maf,
+             coalesce(r1 in (a1, a2), false) and a1 in ('A', 'C', 'G', 'T') and a2 in ('A', 'C', 'G', 'T') as ok1, coalesce(r2 in (a1, a2), false) as ok2 from c),
+e as (select *, case when p is null then 1 when effect is null then 2 when not ok1 then 3 when not ok2 then 4 when INFO < 0.9 then 5 when maf < 0.1 then 6 else 7 end as step from d)
+select trait, count(*) as joined, sum(cast(step = 1 as bigint)) as missing_p, sum(cast(step = 2 as bigint)) as missing_effect, sum(cast(step = 3 as bigint)) as bad_a1,
+       sum(cast(step = 4 as bigint)) as bad_a2, sum(cast(step = 5 as bigint)) as low_info, sum(cast(step = 6 as bigint)) as low_maf, sum(cast(coalesce(p < 0 or p > 1, false) as bigint)) as odd_p, sum(cast(step = 7 as bigint)) as kept from e group by trait""")
+def _report(spark, sf):
+    return prep.munge_report(rel(spark, sf, "raw").select("trait", "SNP", "A1", "A2", "effect", "P", "INFO", "MAF"), rel(spark, sf, "ref"), ("trait",), 0.9, 0.1)
+
+
+@query("mean_z", f"select trait, {r('avg(abs(effect / SE))')} as mean_z, avg(abs(effect / SE)) > 5 as suspicious from {{raw}} q group by trait")
+def _mean_z(spark, sf):
+    return rounded(prep.mean_z(rel(spark, sf, "raw").select("trait", F.col("effect").alias("beta"), F.col("SE").alias("se")), ("trait",)))
 
 
 @query("multi_snp")

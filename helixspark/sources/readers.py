@@ -11,17 +11,17 @@ MISSING = (".", "NA", "", "na", "Na", "nan", "NaN")
 
 # Header aliases by canonical column.
 ALIASES = {
-    "SNP": "SNP SNPID RSID RS_NUMBER RS_NUMBERS MARKERNAME ID PREDICTOR SNP_ID VARIANTID VARIANT_ID RSIDS".split(),
-    "A1": "A1 ALLELE1 EFFECT_ALLELE INC_ALLELE REFERENCE_ALLELE EA REF".split(),
-    "A2": "A2 ALLELE2 ALLELE0 OTHER_ALLELE NON_EFFECT_ALLELE DEC_ALLELE OA NEA ALT A0".split(),
-    "effect": "OR B BETA LOG_ODDS EFFECTS EFFECT SIGNED_SUMSTAT EST BETA1 LOGOR".split(),
-    "INFO": "INFO IMPINFO".split(),
-    "P": "P PVALUE PVAL P_VALUE P-VALUE P.VALUE P_VAL GC_PVALUE WALD_P".split(),
-    "N": "N WEIGHT NCOMPLETESAMPLES TOTALSAMPLESIZE TOTALN TOTAL_N N_COMPLETE_SAMPLES SAMPLESIZE NEFF N_EFF N_EFFECTIVE SUMNEFF".split(),
-    "MAF": "MAF CEUAF FREQ1 EAF FREQ1.HAPMAP FREQALLELE1HAPMAPCEU FREQ.ALLELE1.HAPMAPCEU EFFECT_ALLELE_FREQ FREQ.A1 A1FREQ ALLELEFREQ".split(),
-    "Z": "Z ZSCORE Z-SCORE ZSTATISTIC ZSTAT Z-STATISTIC".split(),
-    "SE": "SE STDERR STDERRLOGOR SEBETA STANDARDERROR STANDARD_ERROR".split(),
-    "DIRECTION": ["DIRECTION"],
+    "SNP": ["SNP", "SNPID", "RSID", "RS_NUMBER", "RS_NUMBERS", "MARKERNAME", "ID", "PREDICTOR", "SNP_ID", "VARIANTID", "VARIANT_ID", "RSIDS", "RS_ID"],
+    "A1": ["A1", "ALLELE1", "EFFECT_ALLELE", "INC_ALLELE", "REFERENCE_ALLELE", "EA", "REF"],
+    "A2": ["A2", "ALLELE2", "ALLELE0", "OTHER_ALLELE", "NON_EFFECT_ALLELE", "DEC_ALLELE", "OA", "NEA", "ALT", "A0"],
+    "effect": ["OR", "B", "BETA", "LOG_ODDS", "EFFECTS", "EFFECT", "SIGNED_SUMSTAT", "EST", "BETA1", "LOGOR"],
+    "INFO": ["INFO", "IMPINFO"],
+    "P": ["P", "PVALUE", "PVAL", "P_VALUE", "P-VALUE", "P.VALUE", "P_VAL", "GC_PVALUE", "WALD_P"],
+    "N": ["N", "WEIGHT", "NCOMPLETESAMPLES", "TOTALSAMPLESIZE", "TOTALN", "TOTAL_N", "N_COMPLETE_SAMPLES", "SAMPLESIZE", "NEFF", "N_EFF", "N_EFFECTIVE", "SUMNEFF"],
+    "MAF": ["MAF", "CEUAF", "FREQ1", "EAF", "FREQ1.HAPMAP", "FREQALLELE1HAPMAPCEU", "FREQ.ALLELE1.HAPMAPCEU", "EFFECT_ALLELE_FREQ", "FREQ.A1", "A1FREQ", "ALLELEFREQ", "EFFECT_ALLELE_FREQUENCY"],
+    "Z": ["Z", "ZSCORE", "Z-SCORE", "ZSTATISTIC", "ZSTAT", "Z-STATISTIC"],
+    "SE": ["STDERR", "SE", "STDERRLOGOR", "SEBETA", "STANDARDERROR", "STANDARD_ERROR"],
+    "DIRECTION": ["DIRECTION", "DIREC", "DIRE", "SIGN"],
 }
 
 
@@ -51,29 +51,67 @@ def resolve_aliases(header: list[str], overrides: dict[str, str] | None = None,
     return found, notes
 
 
-def read_sumstats(spark: SparkSession, path: str, overrides: dict[str, str] | None = None, required: tuple[str, ...] = ("SNP",)) -> DataFrame:
-    """A whitespace-separated file (gzip too) under canonical names. P stays text, other numbers are doubles, missing tokens null.
+def separator(header: str) -> str | None:
+    """The character that parts a header's columns; None stands for runs of white space."""
+    return next((c for c in ("\t", ",", ";", "|") if c in header and (c != "\t" or " " not in header.strip())), None)
 
-    Ragged rows are filled with nulls. A gzip file is one split, so it is dealt out after reading.
+
+def read_sumstats(spark: SparkSession, path: str, overrides: dict[str, str] | None = None, required: tuple[str, ...] = ("SNP",), n: float | None = None) -> DataFrame:
+    """A file (gzip too) under canonical names. P stays text, other numbers are doubles, missing tokens null.
+
+    Columns are parted by tabs, commas, semicolons, bars or white space, as the header says; fields may be quoted. Ragged rows
+    are filled with nulls. ``n`` stands in for the file's sample sizes. A gzip file is one split, so it is dealt out after reading.
     """
     lines = spark.read.text(path)
     header = next((r[0] for r in lines.limit(1).collect()), "")
-    names = re.split(r"\s+", header.strip())
+    sep = separator(header)
+    names = [x.strip().strip('"') for x in (re.split(r"\s+", header.strip()) if sep is None else header.rstrip("\r\n").split(sep))]
     found, _ = resolve_aliases(names, overrides, required)
-    upper = [n.upper() for n in names]
-    if path.endswith(".gz"):
-        lines = lines.repartition(max(2, spark.sparkContext.defaultParallelism))
-    parts = lines.where((F.trim("value") != "") & (F.col("value") != header)).select(F.split(F.trim("value"), r"\s+").alias("v"))
+    upper = [x.upper() for x in names]
+    if sep is None:
+        if path.endswith(".gz"):
+            lines = lines.repartition(max(2, spark.sparkContext.defaultParallelism))
+        parts = lines.where((F.trim("value") != "") & (F.col("value") != header)).select(F.split(F.trim("value"), r"\s+").alias("v"))
+        cell = lambda k: F.regexp_replace(F.get("v", F.lit(k)), '^"|"$', "")
+    else:
+        schema = ", ".join(f"c{k} string" for k in range(len(names)))
+        parts = spark.read.option("sep", sep).option("header", True).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).schema(schema).csv(path)
+        if path.endswith(".gz"):
+            parts = parts.repartition(max(2, spark.sparkContext.defaultParallelism))
+        cell = lambda k: F.col(f"c{k}")
 
     def field(column: str) -> F.Column:
-        x = F.get("v", F.lit(upper.index(found[column])))
+        x = cell(upper.index(found[column]))
         x = F.when(x.isin(*MISSING), None).otherwise(x)
         if column in ("SNP", "A1", "A2", "P", "DIRECTION"):
             return x.alias(column)
         x = x.try_cast("double")
         return (2 * x).alias("N") if column == "N_half" else x.alias(column)
 
-    return parts.select(*(field(c) for c in found))
+    given = [] if n is None else [F.lit(float(n)).alias("N")]
+    return parts.select(*(field(c) for c in found if n is None or c not in ("N", "N_half")), *given)
+
+
+def read_munged(spark: SparkSession, path: str, trait: str) -> DataFrame:
+    """``trait, SNP, N, Z, A1, A2`` of a munged file; z is effect over SE where the file has no Z."""
+    x = spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+    x = x.toDF(*(c.upper() for c in x.columns))
+    number = lambda c: F.col(c).try_cast("double")
+    if "Z" not in x.columns and not {"B", "SE"} <= set(x.columns):
+        raise ValueError(f"{path}: neither Z nor B and SE")
+    ratio = number("B") / number("SE") if {"B", "SE"} <= set(x.columns) else F.lit(None).cast("double")
+    z = F.coalesce(number("Z"), ratio) if "Z" in x.columns else ratio
+    return x.select(F.lit(trait).alias("trait"), "SNP", number("N").alias("N"), z.alias("Z"), "A1", "A2")
+
+
+def read_annotations(spark: SparkSession, annot: str, freq: str | None = None, low: float = 0.05) -> DataFrame:
+    """Annotation files (a glob) without CM, joined on SNP with the frequency files (a glob), where those are given: low < MAF < 1 - low."""
+    reader = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).option("nullValue", "NA")
+    x = reader.csv(annot).drop("CM")
+    if freq is None:
+        return x
+    f = reader.csv(freq).select("SNP", F.col("MAF").cast("double").alias("MAF")).where((F.col("MAF") > low) & (F.col("MAF") < 1 - low))
+    return x.drop("MAF").join(f, "SNP")
 
 
 LD_SCHEMA = "CHR int, SNP string, BP long, CM double, MAF double, L2 double"
