@@ -39,14 +39,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete stored tables that no later step reads, and let Spark drop the shuffle files of plans that are gone."""
+    """Delete stored tables that no later step reads."""
     spark = SparkSession.getActiveSession()
     for df in frames:
         for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
             if "/helixspark/" in f:
                 path = spark._jvm.org.apache.hadoop.fs.Path(f)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    # Python's references keep plans, and with them shuffle files, alive in the JVM; a first pass there only finds them.
+
+
+def drop_shuffles() -> None:
+    """Let Spark drop the shuffle files of plans that are gone, between steps that each shuffle much.
+
+    Python's references keep plans, and with them shuffle files, alive in the JVM; a first pass there only finds them.
+    """
+    spark = SparkSession.getActiveSession()
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()

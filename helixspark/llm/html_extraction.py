@@ -20,7 +20,7 @@ LEAST_SHARE, LEAST_PAGES, LEAST_TOKENS = 0.2, 2, 2
 HELD = 200_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-RAW = {x: re.compile(rf"</{x}\s*[^>]*>|\Z", re.I) for x in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas")}
+RAW = {x: re.compile(rf"</{x}\s*[^>]*>|\Z", re.I) for x in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "canvas")}
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm._common import release, stored, table
+from helixspark.llm._common import drop_shuffles, release, stored, table
 from helixspark.llm.ngram_join import components
 
 #: Edits, characters from which lines are compared by edits (shorter ones: exactly), index rows of a key that are joined
@@ -129,12 +129,12 @@ def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     index = segment_rows(long, edits, False).groupBy("key").agg(F.count("*").alias("k"), F.min("line_id").alias("one"))
     hits = segment_rows(long, edits, True).join(index, "key").where("k > 1 or line_id <> one")
     hits = stored(hits, "hits")
-    release()
+    drop_shuffles()
     alone, crowd = hits.where("k = 1").select(F.least("line_id", "one").alias("a"), F.greatest("line_id", "one").alias("b")), hits.where(f"k > {DIRECT}")
     met = hits.select("line_id").union(alone.select(F.explode(F.array("a", "b")))).distinct()
     # One plan at every size: few lines are met, but how many has no bound that a broadcast could rest on.
     texts = stored(long.select("line_id", "line").join(met.hint("merge"), "line_id", "left_semi"), "texts")
-    release()
+    drop_shuffles()
     counts = F.struct(*(F.expr(f"length(line) - length(replace(line, '{c}', ''))").alias(c) for c in LETTERS))
 
     def met_pairs(rows: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     exactly; blank ones are always left alone.
     """
     lines = distinct_lines(docs, 1 if short else least, id_col, text_col)
-    release()
+    drop_shuffles()
     labels = line_links(lines, edits, least)
     known = lines.select("line_id", "s", "t", "first", "k").join(labels, F.col("line_id") == F.col("node"), "left").where("k > 1 or node is not null")
     near = known.where("node is not null").groupBy("component").agg(F.min("first").alias("stays"))

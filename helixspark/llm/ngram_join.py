@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixspark.llm._common import as_bytes, id_text, pieces, release, shingles, stored, table
+from helixspark.llm._common import as_bytes, drop_shuffles, id_text, pieces, release, shingles, stored, table
 
 CHUNK, BINS, ROUNDS, HUBS = 2_000_000, 256, 3, 6
 #: A bin's count is a short; its largest value stands for any number from there.
@@ -109,6 +109,9 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     taking = every.where("n > 0 and doc_id is not null")
     nodes = stored(taking.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.first("first").alias("first"), F.first("rest").alias("rest"), F.first("bins").alias("bins")), "nodes")
     need = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    keys, wide = stored(every.select("doc_id", "n", "s1", "s2"), "keys"), nodes
+    release(every)
+    drop_shuffles()
 
     # Prefixes. Only shingles that several sets have can meet; the others are counted.
     tokens = nodes.select("node", F.explode("first").alias("token"))
@@ -122,9 +125,13 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     # All of a tail's shingles come after its early ones; whether those meet anybody, the head says.
     tail = tail.select("node", "n", "token", (F.col("early") + F.col("k") + 1).alias("place"), F.lit(None).cast("long").alias("alone"), "need")
     heads = stored(head.union(tail), "prefix")
+    nodes = stored(wide.select("s1", "s2", "n", "node", F.size("first").cast("long").alias("early"), "bins"), "nodes")
+    release(wide)
+    sized = nodes.select("node", "n", "early", need.alias("need"))
     shared = heads.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     prefix = stored(heads.join(shared, "token", "left_semi"), "prefix")
     release(heads)
+    drop_shuffles()
 
     # Groups: nodes whose whole prefixes meet somebody and agree, of one size. Others stand alone.
     whole = prefix.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("p"), F.first("need").alias("need"))
@@ -145,6 +152,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     buckets = stored(led.union(inside), "buckets")
     grams = stored(whole_sets(docs, size, id_col, text_col, active), "grams")
     release(prefix)
+    drop_shuffles()
 
     def similar(a: str, b: str) -> F.Column:
         """What pairs must fulfil to be worth verifying; it never rules out similar ones (at the first common shingle)."""
@@ -169,7 +177,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         if new.isEmpty():
             return
         links = links.union(new)
-        labels = stored(components(links), "labels")
+        old, labels = labels, stored(components(links), "labels")
+        release(old)
 
     for k in range(ROUNDS):
         rows = labelled(buckets, labels)
@@ -180,6 +189,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.label") != F.col("y.label")) & similar("x", "y"))
         common = F.expr(f"{COMMON.format(a='x', b='y')} / (x.n + y.n)")
         joined(met.groupBy(F.col("x.node").alias("a")).agg(F.max_by("y.node", F.struct(common, F.col("y.node"))).alias("b")))
+        drop_shuffles()
 
     # The rest: buckets with several components. A lead stands for its group, whose members may lie in several.
     rows = labelled(buckets, labels)
@@ -194,19 +204,32 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     apart = F.expr("x.label <> y.label or x.torn or y.torn")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & once & apart & similar("x", "y"))
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.kind").alias("kind")).distinct()
-    alone = met.where("kind").select("a", "b")
-    members = grouped.select(F.col("lead"), F.col("node").alias("m"))
-    spread = met.where("not kind")
-    for end in ("a", "b"):
-        spread = spread.join(members.withColumnRenamed("lead", end), end, "left").withColumn(end, F.coalesce("m", end)).drop("m")
-    pairs = alone.union(spread.select("a", "b")).distinct()
-    facts = labelled(sized.select("node", "n").join(bins, "node").join(active, "node", "left_semi"), labels).withColumn("place", F.lit(0).cast("long"))
-    pairs = pairs.join(facts.select(F.col("node").alias("a"), F.struct("n", "place", "bins", "label").alias("x")), "a").join(facts.select(F.col("node").alias("b"), F.struct("n", "place", "bins", "label").alias("y")), "b")
-    joined(pairs.where(similar("x", "y") & F.expr("x.label <> y.label")).select("a", "b"))
-    release(rows, buckets, grams)
+    met = stored(met, "met")
+    # Group pairs are expanded to members. Within a component nothing is sought: a group's members outside its largest one meet
+    # all of the other group, those inside only groups whose largest one is another. So the small side is expanded first, and the
+    # large one only by the join that filters.
+    facts = labelled(sized.select("node", "n").join(bins, "node").join(active, "node", "left_semi"), labels)
+    members = facts.join(grouped, "node", "left").withColumn("lead", F.coalesce("lead", "node"))
+    main = members.groupBy("lead", "label").agg(F.count("*").alias("k")).groupBy("lead").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    main = stored(main, "main")
+    members = stored(members.join(main, "lead").select("lead", (F.col("label") != F.col("main")).alias("apart"), F.struct("node", "n", F.lit(0).cast("long").alias("place"), "bins", "label").alias("m")), "members")
+    ends = met.where("not kind").select("a", "b")
+    both = lambda df: df.join(main.select(F.col("lead").alias("a"), F.col("main").alias("la")), "a").join(main.select(F.col("lead").alias("b"), F.col("main").alias("lb")), "b").where("la <> lb").select("a", "b")
+
+    def expanded(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+        x = pairs.join(first.select(F.col("lead").alias("a"), F.col("m").alias("x")), "a")
+        y = second.select(F.col("lead").alias("b"), F.col("m").alias("y"))
+        return x.join(y, (x["b"] == y["b"]) & F.expr("x.label <> y.label") & similar("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    turned = ends.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    outside, inside = members.where("apart"), members.where("not apart")
+    spread = expanded(ends, outside, members).union(expanded(turned, outside, inside)).union(expanded(both(ends), inside, inside))
+    alone = met.where("kind").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    joined(alone.union(spread).distinct())
+    release(rows, buckets, grams, met, main, members, active, grouped)
 
     known = nodes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("links"))
-    out = every.select("doc_id", "n", "s1", "s2").join(known, ["s1", "s2", "n"], "left")
+    out = keys.join(known, ["s1", "s2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("links") & F.col("doc_id").isNotNull(), F.lit(False)).alias("links"))
 
 

@@ -69,16 +69,22 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """``context_limit, total_tokens, truncated_total, n_truncated`` of each limit; a limit between two lengths is answered exactly."""
-    spark = histogram.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit bigint")
-    below = F.col("length") <= F.col("context_limit")
-    one = histogram.crossJoin(F.broadcast(asked)).groupBy("context_limit")
-    return one.agg(F.sum(F.col("n_docs") * F.col("length")).alias("total_tokens"), F.sum(F.col("n_docs") * F.least("length", "context_limit")).alias("truncated_total"), F.sum(F.when(~below, F.col("n_docs")).otherwise(0)).alias("n_truncated"))
+    """``context_limit, total_tokens, truncated_total, n_truncated`` of each limit, from the suffix sums.
+
+    A limit between two lengths is answered by the next lower one, exactly; one below all lengths cuts every document. The
+    limits are few: each is a column of one aggregation. An empty histogram gives 0 tokens.
+    """
+    zero = F.lit(0).cast("bigint")
+    answers = []
+    for c in map(int, limits):
+        upto = F.coalesce(F.max_by("tokens_upto", F.when(F.col("length") <= c, F.col("length"))), zero)
+        cut = F.coalesce(F.min_by("docs_from", F.when(F.col("length") > c, F.col("length"))), zero)
+        answers.append(F.struct(F.lit(c).cast("bigint").alias("context_limit"), F.coalesce(F.max("tokens_from"), zero).alias("total_tokens"), (upto + F.lit(c) * cut).alias("truncated_total"), cut.alias("n_truncated")))
+    return histogram.agg(F.array(*answers).alias("a")).select(F.explode("a").alias("a")).select("a.*")
 
 
 def quantile(histogram: DataFrame, q: float) -> DataFrame:
-    """The least length that at least the share ``q`` of the documents does not exceed; no row if there are none."""
+    """The least length that at least the share ``q`` of the documents does not exceed; no row if there are none, or q is over 1."""
     return histogram.where(F.col("quantile") >= q).agg(F.min("length").alias("length")).where("length is not null")
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from helixspark.llm._common import stored, table
 
-#: Vectors of one tree, entries of an inner page and of a leaf, queries that one task takes to a tree, the largest component.
-TREE, PAGE, LEAF, BLOCK, LARGEST = 8192, 64, 256, 4096, 1 << 24
+#: Vectors of one tree, entries of an inner page and of a leaf, queries that one task takes to a tree. Inner products that may
+#: exceed EXACT are summed as Python integers.
+TREE, PAGE, LEAF, BLOCK, EXACT = 8192, 64, 256, 4096, 2.0**62
 
 
 class Tree:
@@ -107,7 +108,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """``query_id, rank, vec_id, score``: each query's k highest integer inner products, ties to the smaller id.
 
     A row with the query's own id is no candidate; vectors of another length are none either. Repeated rows count once. With
-    fewer than k candidates all are given; empty tables give none. Components beyond 2**24 after scaling raise an error.
+    fewer than k candidates all are given; empty tables give none. Components of any size count exactly; only a score that no
+    long can hold is an error. A row whose id stands for several vectors is a candidate, and a query, with each of them: its best
+    score counts.
 
     Equal vectors are collapsed to their k + 1 smallest ids, so a common vector costs no more than others. The table is dealt
     by a hash of the vector to trees of bounded size, and blocks of queries meet each tree in a task of their own.
@@ -118,11 +121,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     entries = stored(ranked, "vectors")
     asked = stored(usable(queries, id_col, vector_col).distinct(), "queries")
     norm = F.aggregate("v", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x)
-    widest = lambda df: df.agg(F.count("*").alias("n"), F.max(norm).alias("bound"), F.max(F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0))).alias("most")).first()
+    widest = lambda df: df.agg(F.count("*").alias("n"), F.max(norm).alias("bound")).first()
     have, want = widest(entries), widest(asked)
-    if max(have.most or 0, want.most or 0) > LARGEST:
-        raise ValueError(f"components beyond {LARGEST} after scaling")
     bound = float(have.bound or 0)
+    large = max(bound, float(want.bound or 0)) >= EXACT
     trees, blocks = max(1, -(-have.n // tree)), max(1, -(-want.n // BLOCK))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,12 +139,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         if len(p):
             made = [pickle.loads(x) for x in p.sort_values("page").body]
             for own, v in zip(q.vec_id.tolist(), q.v, strict=True):
-                out += [(own, -i, s) for s, i in search(made, np.asarray(v, np.int64).reshape(-1), own, k, bound)[0]]
+                out += [(own, -i, s) for s, i in search(made, np.asarray(v, np.int64).reshape(-1).astype(object if large else np.int64), own, k, bound)[0]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     left = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("width", "tree", "block")
     right = asked.select("vec_id", "v", F.size("v").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).groupBy("width", "tree", "block")
     found = left.cogroup(right).applyInPandas(look, "query_id bigint, vec_id bigint, score bigint")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

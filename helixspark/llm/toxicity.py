@@ -104,11 +104,11 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.nda
             yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()]), pa.array([w.tobytes()])], ["hashes", "weights"])
 
     some = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
-    # A first cut by the hash, then an exact bound; the ids alone are sorted.
+    # A first cut by the hash leaves few more than are wanted; of these the first are taken, in an order that any run finds again.
     n = some.count()
     if n > rows:
-        some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * rows / n))).limit(rows)
-    model = some.coalesce(1).mapInArrow(run, "hashes binary, weights binary").collect()
+        some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * rows / n)))
+    model = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).repartition(1).mapInArrow(run, "hashes binary, weights binary").collect()
     if not model:
         return np.zeros(0, np.uint64), np.array([BIAS])
     return np.frombuffer(model[0][0], np.uint64), np.frombuffer(model[0][1])

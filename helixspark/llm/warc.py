@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,22 +37,37 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
 
 
 def parse(raw: bytes) -> tuple | None:
-    """Fields of a decoded record, or None if it isn't a whole WARC record: its lengths and its digest must hold."""
+    """Fields of a decoded record, or None if it isn't a whole WARC record of a response or revisit.
+
+    Its lengths must hold, and its digest where it states one by SHA-1; else the digest is computed. Other kinds of records
+    (warcinfo, request, metadata) hold no page. An id that isn't ``<urn:page:N>`` gives no page id; a block without an HTTP
+    header is the payload itself.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("ascii", "replace").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         return None
-    fields = dict(x.partition(": ")[::2] for x in lines[1:])
-    n = int(fields.get("Content-Length", -1))
-    if n < 0 or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+    fields = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
+    stated_length, kind = fields.get("content-length", ""), fields.get("warc-type", "")
+    n = int(stated_length) if stated_length.isdigit() else -1
+    if n < 0 or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n" or kind not in ("response", "revisit"):
         return None
-    http, _, payload = rest[:n].partition(b"\r\n\r\n")
-    size = int(dict(x.partition(": ")[::2] for x in http.decode("ascii").split("\r\n")[1:])["Content-Length"])
-    kind, stated = fields["WARC-Type"], base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != stated):
-        raise ValueError(f"{fields['WARC-Record-ID']}: the payload does not match its digest")
-    number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
-    return number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"].encode().decode("unicode_escape"), size, stated, kind, number(fields.get("WARC-Refers-To")), payload if kind == "response" else None
+    http, payload = b"", rest[:n]
+    if payload.startswith(b"HTTP/"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+    header = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
+    # A revisit keeps the length of the payload that it leaves out.
+    size = int(header["content-length"]) if kind == "revisit" and header.get("content-length", "").isdigit() else len(payload)
+    method, _, code = fields.get("warc-payload-digest", "").partition(":")
+    stated = base64.b32decode(code.upper()).hex() if method.lower() == "sha1" and len(code) == 32 else None
+    if kind == "response":
+        found = hashlib.sha1(payload).hexdigest()
+        if stated not in (None, found):
+            raise ValueError(f"{fields.get('warc-record-id')}: the payload does not match its digest")
+        stated = found
+    page = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
+    uri = fields.get("warc-target-uri", "")
+    return page(fields.get("warc-record-id")), uri.encode().decode("unicode_escape") if uri.isascii() else uri, size, stated, kind, page(fields.get("warc-refers-to")), payload if kind == "response" else None
 
 
 class Stream:
