@@ -23,13 +23,22 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"
 RAW = {x: re.compile(rf"</{x}\s*[^>]*>|\Z", re.I) for x in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "canvas")}
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext"}
 #: An opening tag of these ends an open one of the same set, as in HTML's rules for omitted end tags.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = {"article", "aside", "div", "section", "nav", "header", "footer", "form", "main", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure"}
 APART = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "datalist", "fieldset"}
 APART_NAME = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|footer|sidebar|side|aside|ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|disqus|breadcrumbs?|pagination|widgets?|copyright|login|signup|search|toolbar|skip|contentinfo|complementary)(?:$|[\s_-])", re.I)
 MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.I)
+#: Names of a layout that only says what else the page has.
+HAS = re.compile(r"(?:^|[_-])(?:has|have|with|without|no)(?:[_-]|$)", re.I)
+#: Elements whose names may set them apart within an article: containers. A paragraph or heading there is text, whatever its name.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "tbody", "figure", "details", "center", "header", "custom"}
+
+
+def set_apart(names: str) -> bool:
+    """Whether a class, id or role names a menu, notice, advert or the like; ``has-sidebar`` and ``page-with-menu`` don't."""
+    return any(APART_NAME.search(x) and not HAS.search(x) for x in names.split())
 
 
 @dataclass(slots=True)
@@ -91,7 +100,10 @@ def events(page: str) -> Iterator[Event]:
         named = {a.lower(): (b or c or d) for a, b, c, d in ATTRIBUTE.findall(m[3] or "")}
         names = " ".join(named.values())
         inside = bool(stack) and stack[-1][3]
-        apart = bool(stack) and stack[-1][2] or name in APART or (name == "header" and not inside) or bool(names and name not in ("html", "body") and APART_NAME.search(names))
+        # An article or main element is not set apart by the names of what encloses it, only by its tags.
+        outer = bool(stack) and stack[-1][2] and not (name in ("article", "main") and not any(x[0] in APART for x in stack))
+        named_apart = name not in ("html", "body") and (not inside or name in CONTAINERS or "-" in name) and set_apart(names)
+        apart = outer or name in APART or (name == "header" and not inside) or named_apart
         main = inside or name in ("article", "main") or named.get("role", "").lower() == "main" or (name in ("div", "section") and bool(names and MAIN_NAME.search(names)))
         stack.append((name, name + "".join(f".{x}" for x in sorted(names.split())), apart, main))
         path = tuple(x[1] for x in stack)
