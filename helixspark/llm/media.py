@@ -10,13 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.llm._common import as_bytes, id_text, table
+from helixspark.llm._common import as_bytes, id_text, pieces, stored, table
 
 #: Bounds of the frequency bands, as bins; each band has at most one peak in a frame.
 BANDS = ((1, 16), (16, 48), (48, 129))
 FRAME, HOP, BLOCK = 256, 128, 1 << 12
+#: Bytes of texts or WAVs that a step takes at once; a longer one stands alone.
+CHUNK = 4_000_000
 
 
 def pad(payload: bytes, unit: int = 64) -> bytes:
@@ -74,31 +77,47 @@ def fingerprint(samples: bytes, reach: int = 3) -> np.ndarray:
     return np.sort(np.concatenate(out)).astype(np.int64)
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("media", "fingerprint")) -> DataFrame:
-    """A row per input row: digests, and of ``keep`` the WAV itself and its time-coded pairs.
+def wav_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, media``: each text's UTF-8, padded, as a WAV, and its length before that."""
 
-    A null text counts as empty and gives 64 bytes 0; a null id stays null; repeated rows give repeated results; a text of
-    any length is read whole (frames go by in blocks). Ties between peaks go to the lower bin. An empty table gives none.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            for a, b in pieces(map(len, texts), CHUNK):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(x) for x in texts[a:b]], pa.int64()), pa.array([to_wav(pad(x)) for x in texts[a:b]], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+
+
+def features(media: DataFrame, keep: tuple[str, ...] = ("media", "fingerprint")) -> DataFrame:
+    """Digests of stored WAVs (``doc_id, n_bytes, media``), and of ``keep`` the WAV itself and its time-coded pairs."""
     more = {"media": "binary", "fingerprint": "array<bigint>"}
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_pairs bigint" + "".join(f", {k} {more[k]}" for k in keep)
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *({"media": pa.binary(), "fingerprint": pa.list_(pa.int64())}[k] for k in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), as_bytes(batch.column(1))
-            for a in range(0, len(texts), 256):
+            sizes = pc.binary_length(batch.column(2)).to_pylist()
+            for a, b in pieces(sizes, CHUNK):
                 rows = []
-                for text in texts[a : a + 256]:
-                    media = to_wav(pad(text))
-                    got = from_wav(media)
+                for wav in batch.column(2)[a:b].to_pylist():
+                    got = from_wav(wav)
                     pairs = fingerprint(got)
-                    code = hashlib.sha256(pairs.astype("<i8").tobytes()).hexdigest()[:32]
-                    rows.append((len(text), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(pairs)}:{code}", len(pairs), *({"media": media, "fingerprint": pairs}[k] for k in keep)))
-                columns = [*zip(*rows, strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *({"media": pa.binary(), "fingerprint": pa.list_(pa.int64())}[k] for k in keep)]
-                yield pa.RecordBatch.from_arrays([ids[a : a + 256], *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
+                    code = hashlib.sha256(pairs.astype("<i8").tobytes()).hexdigest()
+                    rows.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), f"{len(pairs)}:{code}", len(pairs), *({"media": wav, "fingerprint": pairs}[k] for k in keep)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
+
+    return media.mapInArrow(run, schema)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("media", "fingerprint")) -> DataFrame:
+    """A row per input row: digests, and of ``keep`` the WAV itself and its time-coded pairs.
+
+    The WAVs are written to the shared folder as a column of a table; all else is computed from what is read back. A null text
+    counts as empty and gives 64 bytes 0; a null id stays null; repeated rows give repeated results; a text of any length is
+    read whole (frames go by in blocks). Ties between peaks go to the lower bin. An empty table gives none.
+    """
+    return features(stored(wav_column(docs, id_col, text_col), "media"), keep)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
