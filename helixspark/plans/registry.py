@@ -315,8 +315,8 @@ with c as (select o.trait, o.P, o.effect, o.INFO, o.MAF, upper(o.A1) as a1, uppe
 d as (select trait, try_cast(P as double) as p, effect, INFO, case when MAF <= 0.5 then MAF else 1 - MAF end as maf,
              coalesce(r1 in (a1, a2), false) and a1 in ('A', 'C', 'G', 'T') and a2 in ('A', 'C', 'G', 'T') as ok1, coalesce(r2 in (a1, a2), false) as ok2 from c),
 e as (select *, case when p is null then 1 when effect is null then 2 when not ok1 then 3 when not ok2 then 4 when INFO < 0.9 then 5 when maf < 0.1 then 6 else 7 end as step from d)
-select trait, count(*) as joined, sum(cast(step = 1 as bigint)) as missing_p, sum(cast(step = 2 as bigint)) as missing_effect, sum(cast(step = 3 as bigint)) as bad_a1,
-       sum(cast(step = 4 as bigint)) as bad_a2, sum(cast(step = 5 as bigint)) as low_info, sum(cast(step = 6 as bigint)) as low_maf, sum(cast(coalesce(p < 0 or p > 1, false) as bigint)) as odd_p, sum(cast(step = 7 as bigint)) as kept from e group by trait""")
+select trait, count(*) as joined, cast(sum(case when step = 1 then 1 else 0 end) as bigint) as missing_p, cast(sum(case when step = 2 then 1 else 0 end) as bigint) as missing_effect, cast(sum(case when step = 3 then 1 else 0 end) as bigint) as bad_a1,
+       cast(sum(case when step = 4 then 1 else 0 end) as bigint) as bad_a2, cast(sum(case when step = 5 then 1 else 0 end) as bigint) as low_info, cast(sum(case when step = 6 then 1 else 0 end) as bigint) as low_maf, cast(sum(case when p < 0 or p > 1 then 1 else 0 end) as bigint) as odd_p, cast(sum(case when step = 7 then 1 else 0 end) as bigint) as kept from e group by trait""")
 def _report(spark, sf):
     return prep.munge_report(rel(spark, sf, "raw").select("trait", "SNP", "A1", "A2", "effect", "P", "INFO", "MAF"), rel(spark, sf, "ref"), ("trait",), 0.9, 0.1)
 
