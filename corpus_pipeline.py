@@ -10,19 +10,31 @@ from helixspark.llm._common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier calls toxic go, each by its own text; labels are learnt from the rows that may be."""
+    """Rows that the classifier calls toxic go, each by its own text; labels are learnt from the rows that may be.
+
+    Null and empty texts score 0 and stay, as do rows with a null id that score low; of repeated rows all go or all stay. Without
+    labels nothing goes. An empty table gives an empty one.
+    """
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, model, located=False, keep=tuple(docs.columns)).where("predicted = 0")
     return scored.select(*(F.col(f"kept{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occurred before, or nearly, go from the texts; every document stays."""
+    """Lines that occurred before, or nearly, go from the texts; every document stays.
+
+    Null texts and rows with a null id stay as they are; rows that repeat id and text are one document, rows that share an id
+    alone are several. An empty table gives an empty one.
+    """
     return line_dedup.dedup_lines(docs, short=True)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays, of rows with one id and text one."""
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays, of rows with one id and text one.
+
+    Null and empty texts have no copies. Rows that share an id are one document, which stays or goes whole; rows with a null id
+    stay, once for each text. An empty table gives an empty one.
+    """
     found = ngram_join.near_copies(docs, 5, 80)
     kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -30,12 +42,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of domains below their target occur again; each occurs at least once. Targets of absent domains don't count."""
+    """Documents of domains below their target occur again; each occurs at least once. Targets of absent domains don't count.
+
+    A text without words (null, empty) has rate 1 and occurs once; a null id takes part. Without labels every row occurs once.
+    An empty table gives an empty one.
+    """
     return mixing.mixed_rows(docs, table(spark, sf_dir, "labels"), mixing.TARGETS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts; a null text has no tokens, repeated rows repeat."""
     return bpe.bpe(docs, keep=())
 
 
