@@ -16,6 +16,8 @@ from helixspark.llm._common import _SPACE, as_bytes, id_text, pieces, table, wor
 TRAIN_ROWS, LEAST_DOCS, LEAST_LIFT, FEATURES = 6000, 4, 4.0, 6000
 HEADS = (4, 5, 6, 7, 8, 10)
 STEPS, RATE, DECAY, BIAS = 250, 0.15, 2e-4, -6.0
+#: The bias where nothing could be learnt: so low that no number of sentences adds up to a score.
+UNTRAINED = -60.0
 CHUNK = 2_000_000
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
@@ -59,7 +61,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarra
         docs.append(d + a)
         base += len(d)
     if not base or labels.min() == labels.max():
-        return np.zeros(0, np.uint64), np.array([BIAS])
+        return np.zeros(0, np.uint64), np.array([UNTRAINED])
     h, s = (np.concatenate(x) for x in zip(*parts, strict=True))
     d = np.concatenate(docs)
     vocabulary, index = np.unique(h, return_inverse=True)
@@ -110,7 +112,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.nda
         some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * rows / n)))
     model = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).repartition(1).mapInArrow(run, "hashes binary, weights binary").collect()
     if not model:
-        return np.zeros(0, np.uint64), np.array([BIAS])
+        return np.zeros(0, np.uint64), np.array([UNTRAINED])
     return np.frombuffer(model[0][0], np.uint64), np.frombuffer(model[0][1])
 
 

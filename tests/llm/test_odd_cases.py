@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 
-from helixspark.llm import line_dedup, token_counts, top_k, warc
+from helixspark.llm import line_dedup, token_counts, top_k, toxicity, warc
 
 
 def test_large_components(spark):
@@ -47,3 +47,10 @@ def test_rows_that_share_an_id(spark):
     out = line_dedup.dedup_lines(df, short=True)
     assert out.columns == df.columns and sorted(r.text or "" for r in out.collect()) == sorted(["", b, a, ""])
     assert line_dedup.dedup_lines(df.limit(0), short=True).count() == 0
+
+
+def test_no_labels(spark):
+    long = spark.createDataFrame([(1, "a b. " * 5000)], "doc_id long, text string")
+    model = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, label int"))
+    r = toxicity.score(long, model).first()
+    assert r.score < 1e-9 and r.predicted == 0 and r.sentences == []
