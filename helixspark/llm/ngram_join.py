@@ -9,7 +9,9 @@ share of the shingles (by hash) first, by frequency, and the others after them,
 shingles that no other set has is done: its prefix meets nobody.
 
 Only components are asked for, so no pair within a known component is formed. In a few rounds each bucket's members meet a
-few members drawn as hubs; then, in buckets that still hold several components, those outside the largest meet the others.
+few members drawn as hubs; then, in buckets that still hold several components, those outside the largest meet the others: first
+each the likeliest one of every other component, then all that are still apart. A pair is formed in the bucket of its first
+common shingle.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from helixspark.llm._common import as_bytes, drop_shuffles, id_text, pieces, release, shingles, stored, table
 
-CHUNK, BINS, ROUNDS, HUBS = 2_000_000, 256, 3, 6
+CHUNK, BINS, ROUNDS, HUBS = 2_000_000, 256, 2, 6
+#: First shingles of a prefix that rows carry, to tell a pair's first common one; rows of a crowded bucket that one task meets.
+HEADS, PART = 16, 512
 #: A bin's count is a short; its largest value stands for any number from there.
 FULL = 32767
 #: No set has more in common with another than the smaller counts of all bins add up to.
@@ -180,6 +184,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         old, labels = labels, stored(components(links), "labels")
         release(old)
 
+    common = F.expr(f"{COMMON.format(a='x', b='y')} / (x.n + y.n)")
     for k in range(ROUNDS):
         rows = labelled(buckets, labels)
         # Each bucket draws a few hubs of its own, and each member keeps the hub that may have most in common with it.
@@ -187,24 +192,44 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         hubs = rows.groupBy("token", "kind", F.pmod(F.xxhash64("node", F.lit(-1 - k)), F.lit(HUBS)).alias("nth")).agg(drawn.alias("h")).select("token", "kind", "h.*")
         x, y = rows.alias("x"), hubs.alias("y")
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.label") != F.col("y.label")) & similar("x", "y"))
-        common = F.expr(f"{COMMON.format(a='x', b='y')} / (x.n + y.n)")
         joined(met.groupBy(F.col("x.node").alias("a")).agg(F.max_by("y.node", F.struct(common, F.col("y.node"))).alias("b")))
         drop_shuffles()
 
     # The rest: buckets with several components. A lead stands for its group, whose members may lie in several.
-    rows = labelled(buckets, labels)
-    split = rows.groupBy("token", "kind").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token", "kind")
-    torn = labelled(grouped, labels).groupBy("lead").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select(F.col("lead").alias("node"))
-    split = split.union(rows.where("not kind").join(torn, "node", "left_semi").select("token", "kind")).distinct()
-    rows = rows.join(split, ["token", "kind"], "left_semi").join(torn.withColumn("torn", F.lit(True)), "node", "left").withColumn("torn", F.coalesce("torn", F.lit(False)))
-    most = rows.groupBy("token", "kind", "label").agg(F.count("*").alias("k")).groupBy("token", "kind").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
-    rows = stored(rows.join(most, ["token", "kind"]), "rest")
-    x, y = rows.where("label <> most or torn").alias("x"), rows.alias("y")
-    once = F.expr("(not (y.label <> y.most or y.torn) or x.node < y.node) and x.node <> y.node")
-    apart = F.expr("x.label <> y.label or x.torn or y.torn")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & once & apart & similar("x", "y"))
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.kind").alias("kind")).distinct()
-    met = stored(met, "met")
+    heads = buckets.where("not kind").groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "token"))), 1, HEADS).alias("h"))
+    heads = stored(heads.select("node", F.col("h.token").alias("heads")), "heads")
+    spread_over = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def remaining() -> DataFrame:
+        """Rows of the buckets where somebody is still apart, with each bucket's largest component; dealt by node, so that no task has a crowded bucket alone."""
+        rows = labelled(buckets, labels)
+        split = rows.groupBy("token", "kind").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token", "kind")
+        torn = labelled(grouped, labels).groupBy("lead").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select(F.col("lead").alias("node"))
+        split = split.union(rows.where("not kind").join(torn, "node", "left_semi").select("token", "kind")).distinct()
+        rows = rows.join(split, ["token", "kind"], "left_semi").join(torn.withColumn("torn", F.lit(True)), "node", "left").withColumn("torn", F.coalesce("torn", F.lit(False)))
+        most = rows.groupBy("token", "kind", "label").agg(F.count("*").alias("k")).groupBy("token", "kind").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.expr(f"int(1 + sum(k) div {PART})").alias("parts"))
+        return stored(rows.join(most, ["token", "kind"]).join(heads, "node", "left").repartition(spread_over, "node"), "rest")
+
+    def meeting(rows: DataFrame, apart: str) -> DataFrame:
+        """Pairs ``x, y`` of a bucket that fulfil ``apart``, one of them outside its largest component, each once and worth verifying.
+
+        Where the heads have a common shingle, the first of it is the pair's first of all, and its bucket forms the pair.
+        """
+        x = rows.where("label <> most or torn").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
+        y = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("y")
+        bucket = (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.part") == F.col("y.part"))
+        once = F.expr("(not (y.label <> y.most or y.torn) or x.node < y.node) and x.node <> y.node")
+        first = F.expr("x.kind or coalesce(get(array_intersect(x.heads, y.heads), 0), x.token) = x.token")
+        return x.join(y, bucket & once & F.expr(apart) & first & similar("x", "y"))
+
+    rows = remaining()
+    likely = meeting(rows, "x.label <> y.label").groupBy(F.col("x.node").alias("a"), F.col("y.label").alias("label"))
+    joined(likely.agg(F.max_by("y.node", F.struct(common, F.col("y.node"))).alias("b")).select("a", "b").distinct())
+    release(rows)
+    drop_shuffles()
+    rows = remaining()
+    met = meeting(rows, "x.label <> y.label or x.torn or y.torn")
+    met = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.kind").alias("kind")).distinct(), "met")
     # Group pairs are expanded to members. Within a component nothing is sought: a group's members outside its largest one meet
     # all of the other group, those inside only groups whose largest one is another. So the small side is expanded first, and the
     # large one only by the join that filters.
@@ -226,7 +251,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     spread = expanded(ends, outside, members).union(expanded(turned, outside, inside)).union(expanded(both(ends), inside, inside))
     alone = met.where("kind").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     joined(alone.union(spread).distinct())
-    release(rows, buckets, grams, met, main, members, active, grouped)
+    release(rows, heads, buckets, grams, met, main, members, active, grouped)
 
     known = nodes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("links"))
     out = keys.join(known, ["s1", "s2", "n"], "left")
