@@ -104,14 +104,29 @@ def read_munged(spark: SparkSession, path: str, trait: str) -> DataFrame:
     return x.select(F.lit(trait).alias("trait"), "SNP", number("N").alias("N"), z.alias("Z"), "A1", "A2")
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """The rows with ``file``, the place of their file among the glob's files in lexicographic order."""
+    # The two ways to name a file differ in the slashes after the scheme.
+    plain = r"^([a-zA-Z][a-zA-Z0-9+.-]*):/+"
+    places = [x for i, f in enumerate(sorted(files.inputFiles())) for x in (F.lit(re.sub(plain, r"\1:/", f)), F.lit(i))]
+    return files.withColumn("file", F.element_at(F.create_map(*places), F.regexp_replace("_metadata.file_path", plain, "$1:/")))
+
+
 def read_annotations(spark: SparkSession, annot: str, freq: str | None = None, low: float = 0.05) -> DataFrame:
-    """Annotation files (a glob) without CM, joined on SNP with the frequency files (a glob), where those are given: low < MAF < 1 - low."""
+    """Annotation files (a glob) without CM, joined on SNP with the frequency files (a glob), where those are given: low < MAF < 1 - low.
+
+    The files of both globs are paired in lexicographic order, so that a variant only meets its own file's frequency; another
+    number of frequency files is an error.
+    """
     reader = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).option("nullValue", "NA")
-    x = reader.csv(annot).drop("CM")
+    x = reader.csv(annot)
     if freq is None:
-        return x
-    f = reader.csv(freq).select("SNP", F.col("MAF").cast("double").alias("MAF")).where((F.col("MAF") > low) & (F.col("MAF") < 1 - low))
-    return x.drop("MAF").join(f, "SNP")
+        return x.drop("CM")
+    f = reader.csv(freq)
+    if len(x.inputFiles()) != len(f.inputFiles()):
+        raise ValueError(f"{annot} has {len(x.inputFiles())} files, {freq} {len(f.inputFiles())}")
+    f = numbered(f).select("file", "SNP", F.col("MAF").cast("double").alias("MAF")).where((F.col("MAF") > low) & (F.col("MAF") < 1 - low))
+    return numbered(x).drop("CM", "MAF").join(f, ["file", "SNP"]).drop("file")
 
 
 LD_SCHEMA = "CHR int, SNP string, BP long, CM double, MAF double, L2 double"
@@ -155,6 +170,20 @@ def write_munged(df: DataFrame, path: str, overwrite: bool = True) -> None:
     df.select("SNP", "N", "Z", "A1", "A2").write.mode("overwrite" if overwrite else "errorifexists").option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
 
 
+def write_simulated(df: DataFrame, path: str, overwrite: bool = True) -> None:
+    """Simulated traits as tab-separated gzip files, a folder ``replicate=r/trait=t`` for each replicate and trait.
+
+    Null replicates and traits have a folder of their own; an empty table writes no files. Columns but ``replicate`` and ``trait`` are kept.
+    """
+    df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("replicate", "trait").option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+
+
+def write_covariance(spark: SparkSession, cov, traits: list[str], path: str, overwrite: bool = True) -> None:
+    """A population covariance matrix as Parquet rows ``trait1, trait2, value``, both triangles and the diagonal."""
+    rows = [(a, b, float(cov[i][j])) for i, a in enumerate(traits) for j, b in enumerate(traits)]
+    spark.createDataFrame(rows, "trait1 string, trait2 string, value double").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
 def read_fusion(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
     """TWAS files: FILE, ID, TWAS.Z, HSQ and the permutation columns; names keep their dots as underscores."""
     out = []
