@@ -21,7 +21,7 @@ def rows(spark, name, folder):
     return df.columns, sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("name", ["ldsc_pair_join", "fusion_merge"])
+@pytest.mark.parametrize("name", ["ldsc_pair_join", "fusion_merge", "v_snp"])
 def test_ties_are_settled(spark, tmp_path, name):
     a, b = tables(tmp_path / "a", False), tables(tmp_path / "b", True)
     columns, got = rows(spark, name, a)
