@@ -101,6 +101,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select("b", "b").distinct()).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
+def smaller_first(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``a, b, la, lb`` of pairs of groups, turned so that ``a`` has no more members; ``la`` and ``lb`` are their main components.
+
+    A group of many members meets many single nodes. Expanded first, it would make rows of its size for each of them.
+    """
+    side = lambda x: groups.select(F.col("lead").alias(x), F.col("main").alias(f"l{x}"), F.col("size").alias(f"n{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.selectExpr("if(na <= nb, a, b) as a", "if(na <= nb, b, a) as b", "if(na <= nb, la, lb) as la", "if(na <= nb, lb, la) as lb")
+
+
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, links`` of each row.
 
@@ -171,18 +181,21 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    labels = spark.createDataFrame([], "node bigint, component bigint")
+    labels = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
 
     def joined(pairs: DataFrame) -> None:
-        nonlocal links, labels
+        """Link those of ``a, b`` that are similar. Earlier links are not looked at again: only components that meet are joined."""
+        nonlocal labels
         new = stored(verified(pairs), "links")
-        if new.isEmpty():
-            return
-        links = links.union(new)
-        old, labels = labels, stored(components(links), "labels")
-        release(old)
+        ends = new.withColumn("node", F.explode(F.array("a", "b")))
+        ends = stored(labelled(ends, labels), "ends")
+        met = ends.groupBy("a", "b").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select(F.col("l1").alias("a"), F.col("l2").alias("b"))
+        if not met.isEmpty():
+            found = components(met).select(F.col("node").alias("label"), "component")
+            linked = labels.select("node", F.col("component").alias("label")).union(ends.select("node", "label")).distinct()
+            old, labels = labels, stored(linked.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("component")), "labels")
+            release(old)
+        release(new, ends)
 
     common = F.expr(f"{COMMON.format(a='x', b='y')} / (x.n + y.n)")
     for k in range(ROUNDS):
@@ -198,7 +211,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     # The rest: buckets with several components. A lead stands for its group, whose members may lie in several.
     heads = buckets.where("not kind").groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "token"))), 1, HEADS).alias("h"))
     heads = stored(heads.select("node", F.col("h.token").alias("heads")), "heads")
-    spread_over = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread_over = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def remaining() -> DataFrame:
         """Rows of the buckets where somebody is still apart, with each bucket's largest component; dealt by node, so that no task has a crowded bucket alone."""
@@ -235,11 +248,11 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     # large one only by the join that filters.
     facts = labelled(sized.select("node", "n").join(bins, "node").join(active, "node", "left_semi"), labels)
     members = facts.join(grouped, "node", "left").withColumn("lead", F.coalesce("lead", "node"))
-    main = members.groupBy("lead", "label").agg(F.count("*").alias("k")).groupBy("lead").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    main = members.groupBy("lead", "label").agg(F.count("*").alias("k")).groupBy("lead").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("size"))
     main = stored(main, "main")
     members = stored(members.join(main, "lead").select("lead", (F.col("label") != F.col("main")).alias("apart"), F.struct("node", "n", F.lit(0).cast("long").alias("place"), "bins", "label").alias("m")), "members")
     ends = met.where("not kind").select("a", "b")
-    both = lambda df: df.join(main.select(F.col("lead").alias("a"), F.col("main").alias("la")), "a").join(main.select(F.col("lead").alias("b"), F.col("main").alias("lb")), "b").where("la <> lb").select("a", "b")
+    both = lambda df: smaller_first(df, main.select("lead", "main", "size")).where("la <> lb").select("a", "b")
 
     def expanded(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
         x = pairs.join(first.select(F.col("lead").alias("a"), F.col("m").alias("x")), "a")
