@@ -161,6 +161,17 @@ def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
 
     links = stored(verified(pairs), "links")
     labels = stored(components(links), "labels")
+    release(links)
+
+    def joined(some: DataFrame) -> None:
+        """Link those of ``a, b`` that are near. A class and its number stand for all earlier links."""
+        nonlocal labels
+        new = stored(verified(some), "links")
+        if not new.isEmpty():
+            old, labels = labels, stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)), "labels")
+            release(old)
+        release(new)
+
     if not crowd.isEmpty():
         labelled = lambda rows: rows.join(labels, rows["line_id"] == labels["node"], "left").select(rows["*"], F.coalesce("component", "line_id").alias("label"))
         # Many lines share a segment: they meet a few hubs, then those outside the largest class of the key meet the rest.
@@ -168,18 +179,12 @@ def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
             rows = labelled(crowd.select("key", "line_id", "own"))
             hubs = rows.groupBy("key", "own", F.pmod(F.xxhash64("line_id", F.lit(k)), F.lit(HUBS)).alias("nth")).agg(F.min_by(F.struct("line_id", "label"), F.xxhash64("line_id", "key", F.lit(k))).alias("h"))
             hubs = hubs.select("key", F.col("own").alias("other"), F.col("h.line_id").alias("b"), F.col("h.label").alias("to"))
-            new = rows.join(hubs, "key").where("(own or other) and label <> to").groupBy(F.col("line_id").alias("a")).agg(F.min_by("b", F.xxhash64("line_id", "b")).alias("b"))
-            links = links.union(stored(verified(new), "links"))
-            old, labels = labels, stored(components(links), "labels")
-            release(old)
+            joined(rows.join(hubs, "key").where("(own or other) and label <> to").groupBy(F.col("line_id").alias("a")).agg(F.min_by("b", F.xxhash64("line_id", "b")).alias("b")))
         # Keys whose lines lie in several classes. Lines are paired by a second key, from what surrounds the segment.
         rows = labelled(crowd.select("key", "line_id", "i", "gap", "own"))
         most = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("n")).where("n > 1").drop("n")
-        rest = met_pairs(rows.join(most, "key"))
-        links = links.union(stored(verified(rest), "links"))
-        old, labels = labels, stored(components(links), "labels")
-        release(old)
-    release(hits, pairs, texts, links)
+        joined(met_pairs(rows.join(most, "key")))
+    release(hits, pairs, texts)
     return labels
 
 

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from helixspark.llm._common import as_bytes, drop_shuffles, id_text, pieces, release, shingles, stored, table
 
 CHUNK, BINS, ROUNDS, HUBS = 2_000_000, 256, 2, 6
+#: Edges up to which components are found on the driver, in one pass, instead of by several shuffles a step.
+FEW = 50_000
 #: First shingles of a prefix that rows carry, to tell a pair's first common one; rows of a crowded bucket that one task meets.
 HEADS, PART = 16, 512
 #: A bin's count is a short; its largest value stands for any number from there.
@@ -82,12 +84,33 @@ def whole_sets(docs: DataFrame, size: int, id_col: str, text_col: str, nodes: Da
     return some.mapInArrow(run, "node bigint, n bigint, grams array<bigint>").where("n > 0")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (its smallest node) of each node of ``a, b`` edges, by alternating large-star and small-star steps."""
+def components_of_few(edges: pa.Table) -> pa.Table:
+    """``node, component`` of each node of a few edges: roots take the smallest root they meet, until all that meet agree."""
+    ends = np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()])
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    return pa.table({"node": nodes, "component": nodes[root]})
+
+
+def components(edges: DataFrame, few: int | None = None) -> DataFrame:
+    """``node, component`` (its smallest node) of each node of ``a, b`` edges, by alternating large-star and small-star steps.
+
+    Up to ``few`` edges (``FEW``) go to the driver, which finds the same components.
+    """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = lambda df: tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-    before = None
-    while (now := sign(edges)) != before:
+    before, now = None, sign(edges)
+    if now[0] <= (FEW if few is None else few):
+        found = components_of_few(edges.select("a", "b").toArrow())
+        release(edges)
+        return edges.sparkSession.createDataFrame(found, "node bigint, component bigint")
+    while now != before:
         before = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -98,6 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = stored(small.where("a <> b").distinct(), "edges")
         release(edges)
         edges = new
+        now = sign(edges)
     return edges.union(edges.select("b", "b").distinct()).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
