@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,42 @@ def drop_shuffles() -> None:
         time.sleep(0.2)
 
 
+#: How a worker forgets what tasks of an operator left in it for the next ones, by operator.
+_LEFT: dict[str, Callable[[], None]] = {}
+
+
+def trim() -> None:
+    """Give a worker's unused memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def begin(name: str, forget: Callable[[], None] | None = None) -> None:
+    """A task of this operator begins in this worker: what the others left goes. ``forget`` drops what this one will leave.
+
+    Spark uses a worker for one plan after another, so that what an operator remembers would add up with what the next one takes.
+    """
+    others = [x for x in _LEFT if x != name]
+    for x in others:
+        _LEFT.pop(x)()
+    if others or name not in _LEFT:
+        trim()
+    _LEFT[name] = forget or (lambda: None)
+
+
+def tidy(run: Callable, name: str, forget: Callable[[], None] | None = None) -> Callable:
+    """``run`` over a task's batches, in a worker that holds no more than it needs before and after."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(name, forget)
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.llm._common import id_text, pieces, table
+from helixspark.llm._common import id_text, pieces, table, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rounds of one recursive query, bytes of pieces in one, tokens in one decoding query; bytes from which a piece counts as long
@@ -190,6 +190,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def forget() -> None:
+    codec.cache_clear()
+    ranks.cache_clear()
+
+
 def vocabulary(path: str | None) -> tuple[str, str]:
     """The rank file, by default the public one, and the pattern that cuts texts before merging."""
     import public_tokenizers
@@ -220,7 +225,7 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
                 extra = {"ids": (np.frombuffer(x, "<u4").astype(np.int64) for x in ids), "decoded": back}
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(list(extra[k]), kinds[k]) for k in keep], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run, "bpe", forget), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

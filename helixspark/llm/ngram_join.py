@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixspark.llm._common import as_bytes, drop_shuffles, id_text, pieces, release, shingles, stored, table
+from helixspark.llm._common import as_bytes, drop_shuffles, id_text, pieces, release, shingles, stored, table, tidy
 
 CHUNK, BINS, ROUNDS, HUBS = 2_000_000, 256, 2, 6
 #: Edges up to which components are found on the driver, in one pass, instead of by several shuffles a step.
@@ -67,7 +67,7 @@ def sets(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -
                 s = np.array(keys).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(firsts, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int16()))], names)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, first array<bigint>, rest array<bigint>, bins array<smallint>")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(run, "ngram_join"), "doc_id bigint, n bigint, s1 bigint, s2 bigint, first array<bigint>, rest array<bigint>, bins array<smallint>")
 
 
 def whole_sets(docs: DataFrame, size: int, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def whole_sets(docs: DataFrame, size: int, id_col: str, text_col: str, nodes: Da
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(list(map(len, found)), pa.int64()), pa.array([x.astype(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "n", "grams"])
 
     some = id_text(docs, id_col, text_col).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return some.mapInArrow(run, "node bigint, n bigint, grams array<bigint>").where("n > 0")
+    return some.mapInArrow(tidy(run, "ngram_join"), "node bigint, n bigint, grams array<bigint>").where("n > 0")
 
 
 def components_of_few(edges: pa.Table) -> pa.Table:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm._common import _SPACE, as_bytes, id_text, pieces, table, words
+from helixspark.llm._common import _SPACE, as_bytes, id_text, pieces, table, tidy, words
 
 #: At most so many labelled rows train the model. Features are words and their first bytes, of several lengths: those in
 #: enough of the rows whose labels differ from the mean by so many standard deviations; at most so many.
@@ -48,34 +48,57 @@ def distinct(sentence: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.
     return both >> 32, both & 0xFFFFFFFF
 
 
+def merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of hash, documents with it and toxic ones among them, as one: each hash once, sorted, its counts added up."""
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    first = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1])[: rows.shape[1]])
+    return np.stack([rows[0, first], *(np.add.reduceat(x, first) if len(first) else x for x in rows[1:])])
+
+
 def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word hashes and their weights; the last weight is the bias.
 
     A sentence is toxic with probability sigmoid(bias + sum of its words' weights); a document if any sentence is:
     1 - prod(1 - p). Full-batch Adam on the likelihood of the documents' labels, with decay.
     """
-    parts, docs, base, count = [], [], 0, {}
-    for a, b in pieces(map(len, texts), CHUNK):
+    # Features of all texts at once would take many times the texts' bytes, so they are made twice, a chunk at a time: to count the
+    # documents that have each, and for the sentences' rows of the chosen ones.
+    cuts = list(pieces(map(len, texts), CHUNK))
+    counted = [np.zeros((3, 0), np.uint64)]
+    for a, b in cuts:
         h, s, d, *_ = sentences(texts[a:b])
-        parts.append((h, s + base))
-        docs.append(d + a)
-        base += len(d)
-    if not base or labels.min() == labels.max():
+        found, index = np.unique(h, return_inverse=True)
+        doc, word = distinct(d[s], index)
+        hits = np.bincount(word, labels[a:b][doc], minlength=len(found))
+        counted.append(np.stack([found, np.bincount(word, minlength=len(found)).astype(np.uint64), hits.astype(np.uint64)]))
+        # Small parts wait until they are as many as what is there, so that each is merged a few times only.
+        if sum(x.shape[1] for x in counted[1:]) > max(counted[0].shape[1], CHUNK):
+            counted = [merged(counted)]
+    vocabulary, seen, hits = merged(counted)
+    if not len(vocabulary) or labels.min() == labels.max():
         return np.zeros(0, np.uint64), np.array([UNTRAINED])
-    h, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-    d = np.concatenate(docs)
-    vocabulary, index = np.unique(h, return_inverse=True)
-    doc, word = distinct(d[s], index)
-    seen = np.bincount(word, minlength=len(vocabulary))
-    hits = np.bincount(word, labels[doc], minlength=len(vocabulary))
+    seen, hits = seen.astype(np.int64), hits.astype(float)
     share = labels.mean()
     lift = np.abs(hits - seen * share) / np.sqrt(seen * share * (1 - share))
     chosen = np.flatnonzero((seen >= LEAST_DOCS) & (lift >= LEAST_LIFT))
     chosen = np.sort(chosen[np.lexsort((vocabulary[chosen], -lift[chosen]))][:FEATURES])
-    number = np.full(len(vocabulary), -1)
-    number[chosen] = np.arange(len(chosen))
-    s, f = distinct(s[number[index] >= 0], number[index][number[index] >= 0])
-    n, k = len(texts), len(chosen)
+    known = vocabulary[chosen]
+    del counted, vocabulary, seen, hits, lift
+    rows, docs, base = [(np.zeros(0, np.int64),) * 2], [], 0
+    for a, b in cuts:
+        h, s, d, *_ = sentences(texts[a:b])
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            sentence, feature = distinct(s[hit], at[hit])
+            rows.append((sentence + base, feature))
+        docs.append(d + a)
+        base += len(d)
+    s, f = (np.concatenate(x) for x in zip(*rows, strict=True))
+    d = np.concatenate(docs)
+    del rows, docs
+    n, k = len(texts), len(known)
     w = np.zeros(k + 1)
     w[k] = BIAS
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -89,7 +112,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarra
         g[:k] += DECAY * w[:k]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    return vocabulary[chosen], w
+    return known, w
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +133,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.nda
     n = some.count()
     if n > rows:
         some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * rows / n)))
-    model = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).repartition(1).mapInArrow(run, "hashes binary, weights binary").collect()
+    model = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).repartition(1).mapInArrow(tidy(run, "toxicity"), "hashes binary, weights binary").collect()
     if not model:
         return np.zeros(0, np.uint64), np.array([UNTRAINED])
     return np.frombuffer(model[0][0], np.uint64), np.frombuffer(model[0][1])
@@ -153,7 +176,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
                 columns += [batch.column(2 + i)[a:b] for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "sentences"][: 3 + located] + [f"kept{i}" for i in range(len(keep))])
 
-    return id_text(docs, id_col, text_col, *(F.col(c).alias(f"kept{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
+    return id_text(docs, id_col, text_col, *(F.col(c).alias(f"kept{i}") for i, c in enumerate(keep))).mapInArrow(tidy(run, "toxicity"), schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
