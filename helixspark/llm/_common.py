@@ -7,12 +7,14 @@ import ctypes
 import gc
 import os
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,10 @@ def drop_shuffles() -> None:
 
 #: How a worker forgets what tasks of an operator left in it for the next ones, by operator.
 _LEFT: dict[str, Callable[[], None]] = {}
+#: Seconds without a task after which a worker forgets that too; the timer that counts them.
+IDLE = 4.0
+_WAITS: list[threading.Timer] = []
+_LOCK = threading.Lock()
 
 
 def trim() -> None:
@@ -79,12 +85,34 @@ def begin(name: str, forget: Callable[[], None] | None = None) -> None:
 
     Spark uses a worker for one plan after another, so that what an operator remembers would add up with what the next one takes.
     """
-    others = [x for x in _LEFT if x != name]
-    for x in others:
-        _LEFT.pop(x)()
-    if others or name not in _LEFT:
-        trim()
-    _LEFT[name] = forget or (lambda: None)
+    with _LOCK:
+        while _WAITS:
+            _WAITS.pop().cancel()
+        others = [x for x in _LEFT if x != name]
+        for x in others:
+            _LEFT.pop(x)()
+        if others or name not in _LEFT:
+            trim()
+        _LEFT[name] = forget or (lambda: None)
+
+
+def end() -> None:
+    """A task ends in this worker. If no other begins for a while, what it left goes: an idle worker's memory adds up with that of busy ones."""
+
+    def idle() -> None:
+        with _LOCK:
+            if timer in _WAITS:  # else a task began meanwhile
+                _WAITS.remove(timer)
+                while _LEFT:
+                    _LEFT.popitem()[1]()
+                trim()
+
+    trim()
+    timer = threading.Timer(IDLE, idle)
+    timer.daemon = True
+    with _LOCK:
+        _WAITS.append(timer)
+    timer.start()
 
 
 def tidy(run: Callable, name: str, forget: Callable[[], None] | None = None) -> Callable:
@@ -93,7 +121,7 @@ def tidy(run: Callable, name: str, forget: Callable[[], None] | None = None) ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin(name, forget)
         yield from run(batches)
-        trim()
+        end()
 
     return task
 
@@ -112,6 +140,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def text_pieces(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The texts of ``as_bytes`` as pieces of about ``most`` bytes, of which one is there at a time, with their ranges."""
+    for a, b in pieces([x or 0 for x in pc.binary_length(column).to_pylist()], most):
+        yield a, b, as_bytes(column[a:b])
+
+
 def pieces(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose sizes add up to about ``most``; a larger item stands alone."""
     start, total, i = 0, 0, -1

@@ -18,9 +18,9 @@ from helixspark.llm._common import id_text, pieces, table, tidy
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rounds of one recursive query, bytes of pieces in one, tokens in one decoding query; bytes from which a piece counts as long
 #: (a choice of query that doesn't change results).
-ROUNDS, PIECE_BYTES, DECODE_TOKENS, LONG = 48, 500_000, 500_000, 40
+ROUNDS, PIECE_BYTES, DECODE_TOKENS, LONG = 48, 250_000, 250_000, 40
 #: Bytes of pieces with their ids that a worker remembers, an entry's own bytes, characters of texts at once.
-REMEMBERED, ENTRY, BATCH_CHARS = 80 << 20, 250, 2_000_000
+REMEMBERED, ENTRY, BATCH_CHARS = 80 << 20, 250, 500_000
 CHUNKS, SEPARATORS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall, re.compile("[\x1c-\x1f]")
 
 # A state holds a row for each token of each piece, linked to the token after it. One round joins the neighbouring pairs

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixspark.llm._common import as_bytes, drop_shuffles, id_text, pieces, release, shingles, stored, table, tidy
+from helixspark.llm._common import drop_shuffles, id_text, release, shingles, stored, table, text_pieces, tidy
 
-CHUNK, BINS, ROUNDS, HUBS = 2_000_000, 256, 2, 6
+CHUNK, BINS, ROUNDS, HUBS = 500_000, 256, 2, 6
 #: Edges up to which components are found on the driver, in one pass, instead of by several shuffles a step.
 FEW = 50_000
 #: First shingles of a prefix that rows carry, to tell a pair's first common one; rows of a crowded bucket that one task meets.
@@ -51,10 +51,9 @@ def sets(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for a, b in pieces(map(len, texts), CHUNK):
+            for a, b, texts in text_pieces(batch.column(1), CHUNK):
                 keys, firsts, rests, bins, counts = [], [], [], [], []
-                for found in shingles(texts[a:b], size):
+                for found in shingles(texts, size):
                     n = len(found)
                     need = n - (percent * n + 99) // 100 + 1
                     token = (found >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
@@ -75,9 +74,8 @@ def whole_sets(docs: DataFrame, size: int, id_col: str, text_col: str, nodes: Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for a, b in pieces(map(len, texts), CHUNK):
-                found = shingles(texts[a:b], size)
+            for a, b, texts in text_pieces(batch.column(1), CHUNK):
+                found = shingles(texts, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(list(map(len, found)), pa.int64()), pa.array([x.astype(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "n", "grams"])
 
     some = id_text(docs, id_col, text_col).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm._common import _SPACE, as_bytes, id_text, pieces, table, tidy, words
+from helixspark.llm._common import _SPACE, as_bytes, id_text, pieces, table, text_pieces, tidy, words
 
 #: At most so many labelled rows train the model. Features are words and their first bytes, of several lengths: those in
 #: enough of the rows whose labels differ from the mean by so many standard deviations; at most so many.
@@ -18,7 +18,8 @@ HEADS = (4, 5, 6, 7, 8, 10)
 STEPS, RATE, DECAY, BIAS = 250, 0.15, 2e-4, -6.0
 #: The bias where nothing could be learnt: so low that no number of sentences adds up to a score.
 UNTRAINED = -60.0
-CHUNK = 2_000_000
+#: Bytes of texts whose features are made at once: these take about 80 times as much memory, in each worker.
+CHUNK = 500_000
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
 #: Words are runs of letters, digits and bytes over 127: ASCII punctuation parts them.
@@ -155,9 +156,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
         known, w = sent.value
         k = len(known)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for a, b in pieces(map(len, texts), CHUNK):
-                h, s, d, starts, ends = sentences(texts[a:b])
+            for a, b, texts in text_pieces(batch.column(1), CHUNK):
+                h, s, d, starts, ends = sentences(texts)
                 z = np.full(len(d), w[k])
                 if k and len(h):
                     at = np.minimum(np.searchsorted(known, h), k - 1)
