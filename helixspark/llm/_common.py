@@ -173,7 +173,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n or len(_POWERS[0]) > 4 * max(n, 1 << 22):
         for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p = np.full(1 << max(18, n.bit_length()), base, np.uint64)
             p[0] = 1
             _POWERS[k] = np.multiply.accumulate(p)
     return _POWERS[0][:n], _POWERS[1][:n]

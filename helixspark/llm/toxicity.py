@@ -19,7 +19,7 @@ STEPS, RATE, DECAY, BIAS = 250, 0.15, 2e-4, -6.0
 #: The bias where nothing could be learnt: so low that no number of sentences adds up to a score.
 UNTRAINED = -60.0
 #: Bytes of texts whose features are made at once: these take about 80 times as much memory, in each worker.
-CHUNK = 500_000
+CHUNK = 125_000
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
 #: Words are runs of letters, digits and bytes over 127: ASCII punctuation parts them.
@@ -144,10 +144,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
     """``doc_id, score, predicted`` per row, and if ``located`` the offending sentences: start and end in bytes, and score.
 
     A text without words (null, empty) scores 0; a null id stays null; repeated rows give repeated results. The columns of
-    ``docs`` named in ``keep`` go along as ``kept0, kept1, ...``.
+    ``docs`` named in ``keep`` go along as ``kept0, kept1, ...``; the text itself is sent to the workers once.
     """
     spans = "array<struct<start:bigint,end:bigint,score:double>>"
     schema = "doc_id bigint, score double, predicted int" + f", sentences {spans}" * located + "".join(f", kept{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(keep))
+    more = [c for c in keep if c != text_col or dict(docs.dtypes)[c] != "string"]
+    kept_at = [2 + more.index(c) if c in more else 1 for c in keep]
     known, w = model
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((known, w))
@@ -173,10 +175,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
                     for i in np.flatnonzero(p >= threshold):
                         out[d[i]].append({"start": int(starts[i]), "end": int(ends[i]), "score": float(p[i])})
                     columns.append(pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))))
-                columns += [batch.column(2 + i)[a:b] for i in range(len(keep))]
+                columns += [batch.column(i)[a:b] for i in kept_at]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "sentences"][: 3 + located] + [f"kept{i}" for i in range(len(keep))])
 
-    return id_text(docs, id_col, text_col, *(F.col(c).alias(f"kept{i}") for i, c in enumerate(keep))).mapInArrow(tidy(run, "toxicity"), schema)
+    return id_text(docs, id_col, text_col, *(F.col(c).alias(f"kept{i}") for i, c in enumerate(more))).mapInArrow(tidy(run, "toxicity"), schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
