@@ -20,7 +20,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: (a choice of query that doesn't change results).
 ROUNDS, PIECE_BYTES, DECODE_TOKENS, LONG = 48, 250_000, 250_000, 40
 #: Bytes of pieces with their ids that a worker remembers, an entry's own bytes, characters of texts at once.
-REMEMBERED, ENTRY, BATCH_CHARS = 80 << 20, 250, 500_000
+REMEMBERED, ENTRY, BATCH_CHARS = 64 << 20, 250, 500_000
+#: Chunks end where a piece always does: before a space between words and around white space. ``re`` counts the four separators
+#: U+001C to U+001F as white space, the pattern does not: texts with these can't be cut so.
 CHUNKS, SEPARATORS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall, re.compile("[\x1c-\x1f]")
 
 # A state holds a row for each token of each piece, linked to the token after it. One round joins the neighbouring pairs
@@ -122,6 +124,7 @@ class Codec:
         for b in range(256):
             self.single[b] = known[bytes([b])]
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def fixpoint(self, found: list[bytes]) -> list[bytes]:
@@ -146,30 +149,32 @@ class Codec:
             piece, place, token = piece[~ended], place[~ended], token[~ended]
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """The text cut where a piece always ends: before a space between words and around white space.
+    def encode(self, texts: list[str]) -> list[list[bytes]]:
+        """Each text's ids as little-endian unsigned 32-bit integers, a bytes object for each of its pieces.
 
-        ``re`` counts the four separators U+001C to U+001F as white space, the pattern does not: such texts take the slow way.
+        Half of what is remembered goes at a time, the pieces that no text had since the last time: rare ones, of which most texts
+        are the only one, don't drive out the frequent ones.
         """
-        return self.split(text) if SEPARATORS.search(text) else CHUNKS(text)
-
-    def encode(self, texts: list[str]) -> list[list[bytes]]:
-        """Each text's ids as little-endian unsigned 32-bit integers, a bytes object for each of its chunks."""
-        chunked = [self.chunks(x) for x in texts]
-        if self.held > REMEMBERED:
-            self.memory.clear()
-            self.held = 0
-        parts = {c: self.split(c) for c in set().union(*chunked).difference(self.memory)}
-        new = {p: p.encode() for p in set().union(*parts.values()).difference(self.memory)}
+        cuts, flat = [0], []
+        for x in texts:
+            flat += self.split(x)
+            cuts.append(len(flat))
+        if self.held > REMEMBERED // 2:
+            self.older, self.memory, self.held = self.memory, {}, 0
+        found = list(map(self.memory.get, flat))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        fresh = {flat[i] for i in missing}
+        known = {p: ids for p in fresh if (ids := self.older.get(p)) is not None}
+        new = {p: p.encode() for p in fresh if p not in known}
         for long in (False, True):
             some = [p for p, raw in new.items() if (len(raw) >= LONG) == long]
             for a, b in pieces((len(new[p]) for p in some), PIECE_BYTES):
-                self.memory.update(zip(some[a:b], self.fixpoint([new[p] for p in some[a:b]]), strict=True))
-        for c, found in parts.items():
-            if len(found) != 1:
-                self.memory[c] = b"".join(map(self.memory.__getitem__, found))
-        self.held += sum(ENTRY + 2 * len(x) for x in {**parts, **new})
-        return [list(map(self.memory.__getitem__, found)) for found in chunked]
+                known.update(zip(some[a:b], self.fixpoint([new[p] for p in some[a:b]]), strict=True))
+        self.memory.update(known)
+        self.held += sum(ENTRY + 2 * len(x) for x in known)
+        for i in missing:
+            found[i] = known[flat[i]]
+        return [found[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, texts: list[np.ndarray]) -> list[bytes]:
         """The bytes of each text, given as ids: rows of tokens join the vocabulary, an ordered aggregation puts them together."""
