@@ -28,4 +28,4 @@ def test_memory_of_features():
     toxicity.sentences(texts)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 16 << 20
+    assert peak < 8 << 20
